@@ -18,6 +18,7 @@ input row, repeated rows and null ids included.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SPACE, CHUNK, GIANT, CACHE, LONG_RUN = "▁", 16_384, 65_536, 300_000, 256
+SPACE, CHUNK, GIANT, CACHE, LONG_RUN = "▁", 16_384, 65_536, 200_000, 256
 UNKNOWN_PENALTY = 10.0
 _workers: dict = {}
 
@@ -49,9 +50,21 @@ class Pieces:
         lows = [s for s, _ in self.scores.values()]
         self.unknown_score = float(min(lows)) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.scores))
+        #: The longest piece with each beginning of two characters.
+        self.reach: dict[str, int] = {}
+        for t in self.scores:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
+        #: A trie: [next character -> node, score or None, id].
+        self.trie: list = [{}, None, -1]
+        for t, (gain, ident) in self.scores.items():
+            node = self.trie
+            for c in t:
+                node = node[0].setdefault(c, [{}, None, -1])
+            node[1:] = [gain, ident]
+        self.plain = [None if i in self.byte_of or i in self.control else " ⁇ " if i == self.unknown else t.replace(SPACE, " ") for i, t in enumerate(self.texts)]
         if any(SPACE in t.lstrip(SPACE) for t in self.scores):
             raise ValueError("a piece holds the space sign after another character")
-        self.known: dict[str, tuple[list[int], float]] = {"": ([], 0.0)}
+        self.known: dict[str, tuple[bytes, float]] = {"": (b"", 0.0)}
 
     def normalise(self, text: str) -> str:
         """As the model file says: identity, a space sign for each space, one before the text."""
@@ -60,7 +73,7 @@ class Pieces:
     def edges(self, text: str, start: int, end: int):
         """(end, score, ids) of the pieces from ``start`` on, longest last."""
         scores, found_one = self.scores, False
-        for stop in range(start + 1, min(start + self.longest, end) + 1):
+        for stop in range(start + 1, min(start + max(1, self.reach.get(text[start : start + 2], 1)), end) + 1):
             got = scores.get(text[start:stop])
             if got is not None:
                 found_one |= stop == start + 1
@@ -96,6 +109,34 @@ class Pieces:
         ids.reverse()
         return ids, score[leave]
 
+    def best_run(self, text: str) -> tuple[bytes, float]:
+        """As ``best`` over a whole run, by walking the trie."""
+        n, low, first = len(text), -1e300, self.trie[0].get
+        score, back, via = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
+        for at in range(n):
+            base, node, stop = score[at], first(text[at]), at
+            if base == low:
+                continue
+            if node is None or node[1] is None:
+                if base + self.unknown_score > score[at + 1]:
+                    score[at + 1], back[at + 1], via[at + 1] = base + self.unknown_score, at, -1
+            while node is not None:
+                stop += 1
+                gain = node[1]
+                if gain is not None and base + gain > score[stop]:
+                    score[stop], back[stop], via[stop] = base + gain, at, node[2]
+                node = node[0].get(text[stop]) if stop < n else None
+        ids, at = [], n
+        while at:
+            ident, before = via[at], back[at]
+            if ident >= 0:
+                ids.append(ident)
+            else:
+                ids += reversed(self.ids_of(text, before, at, -1))
+            at = before
+        ids.reverse()
+        return array("i", ids).tobytes(), score[n]
+
     def runs(self, text: str) -> list[str]:
         """Parts that no piece crosses: space signs and what follows up to the next of them."""
         out, parts = [], text.split(SPACE)
@@ -110,20 +151,18 @@ class Pieces:
                 lead += SPACE
         return out
 
-    def run(self, text: str) -> list[int]:
+    def run(self, text: str) -> tuple[bytes, float]:
+        """Ids, as 32-bit numbers, and score of a run."""
         got = self.known.get(text)
         if got is None:
             if len(self.known) > CACHE:
                 self.known.clear()
-            got = self.best(text)
-            self.known[text] = got
-        return got[0]
+            got = self.known[text] = self.best_run(text)
+        return got
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for r in self.runs(self.normalise(text)):
-            out += self.run(r)
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        run = self.run
+        return np.frombuffer(b"".join([run(r)[0] for r in self.runs(self.normalise(text))]), "<i4")
 
     # the parallel scan
 
@@ -157,8 +196,7 @@ class Pieces:
             head[s] = self.best(text, s, cuts[0])[1] if s < cuts[0] else 0.0
         middle = 0.0
         for r in self.runs(text[cuts[0] : tail]):
-            self.run(r)
-            middle += self.known[r][1]
+            middle += self.run(r)[1]
         return head[:, None] + middle + self.matrix(text, tail, width)[:1]
 
     @staticmethod
@@ -194,6 +232,11 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        parts = [self.plain[i] for i in ids]
+        if None not in parts:
+            text = "".join(parts)
+            return text[1:] if text[:1] == " " else text
         raw = bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -226,7 +269,9 @@ def _encoding(path: str):
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
                 rows = [_row(own, uid, doc, text, own.encode(text)) for uid, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ID_TYPES, strict=True)], _ID_NAMES)
+                columns = list(zip(*rows, strict=True))
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *columns[3]]), pa.int32()), pa.array(np.concatenate(columns[4]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids if i == 4 else pa.array(c, t) for i, (c, t) in enumerate(zip(columns, _ID_TYPES, strict=True))], _ID_NAMES)
 
     return run
 
