@@ -1,69 +1,16 @@
-"""Shared pieces: the shared checkpoint folder, row keys, Arrow batches and folds."""
+"""Shared pieces: row keys, Arrow batches and folds; the shared folder and components come from the library's own plans."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folders written by this process, deleted when it ends.
-_written: list[tuple[SparkSession, str]] = []
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..plans.shared import components, drop_path, fresh_path, materialise, prepare, shared_dir
 
-
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver found it; bounds Arrow batches."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", ""):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; one of our own is set only where it is unset (local runs and tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="notewright-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: it cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-                drop_path(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may have gone first
-            return
+__all__ = ["arrow_map", "components", "drop_path", "free_name", "fresh_path", "materialise", "prepare", "remainder", "shared_dir", "text_bytes"]
 
 
 def remainder(column: str, n: int) -> Column:
@@ -97,31 +44,3 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
                 yield from out
 
     return df.mapInArrow(run, schema)
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """Connected components of (a, b) with a != b: rows (node, component), component the smallest node.
-
-    Large-star and small-star rounds: each round is two aggregations by key; no group is ever gathered
-    in a list, and the edges are written to the shared folder after each round.
-    """
-    spark = edges.sparkSession
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = materialise(now, name)
-    before = None
-    while True:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: larger neighbours go to the least of the neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # small star: a node and its smaller neighbours go to the least of these
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        nxt = small.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
-        nxt = materialise(nxt, name)
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = nxt
-        if before is not None and tuple(mark) == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = tuple(mark)
