@@ -12,6 +12,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 
 import numpy as np
@@ -26,32 +28,88 @@ CACHE = 400_000
 _workers: dict = {}
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
-    """Token ids of whole texts.  No token spans white space, so each distinct run between is encoded once."""
+    """Token ids of whole texts, as little-endian unsigned 16-bit numbers (the vocabulary is below 65 536).
+
+    No token spans white space, so each distinct run between is encoded once and kept, for two generations of
+    CACHE runs.  Runs of letters alone end at their one token with a word end, so many of them are encoded in one call.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # for lower-case Latin-1 letter runs, the normaliser and the pattern have nothing to do
+        lean = json.loads(self.tokenizer.to_str())
+        lean["normalizer"] = None
+        lean["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.lean = Tokenizer.from_str(json.dumps(lean))
+        self.ends = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 16-bit numbers (the vocabulary is below 65 536)."""
-        if "<|" in text:  # special tokens are found before anything else
-            return self.plain(text)
+    def learn(self, runs: set[str]) -> None:
+        """Encodes what isn't known of the runs."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        for blank in "\n\t\r":
-            text = text.replace(blank, " ")
-        runs, known = text.split(" "), self.known
-        new = [w for w in dict.fromkeys(runs) if w not in known]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        return b"".join(map(known.__getitem__, runs))
+            self.older, self.known = self.known, {"": b""}
+        known, older = self.known, self.older
+        new = runs.difference(known)
+        if older:
+            again = new.intersection(older)
+            known.update((w, older[w]) for w in again)
+            new -= again
+        words = {w for w in new if w.isalpha()}
+        # a letter run with one sign behind it is two parts for any text
+        pairs = [w for w in new if w[-1] in ".,;:!?" and w[:-1].isalpha()]
+        rest = new.difference(words, pairs)
+        words.update(w[:-1] for w in pairs if w[:-1] not in known)
+        for i in range(0, len(order := list(words)), 2000):
+            part = order[i : i + 2000]
+            joined = " ".join(part)
+            with_ids = self.lean if latin(joined) and joined == joined.lower() else self.tokenizer
+            ids = np.array(with_ids.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, cuts = ids.tobytes(), (ends * 2).tolist()
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+            else:
+                known.update((w, self.plain(w)) for w in part)
+        for sign in {w[-1] for w in pairs}.union(rest):
+            if sign not in known:
+                known[sign] = self.plain(sign)
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in pairs)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split: list = []
+        runs: set[str] = set()
+        for text in texts:
+            if "<|" in text:  # special tokens are found before anything else
+                split.append(self.plain(text))
+                continue
+            if latin(text):  # lower case is letter by letter there, as the tokenizer's
+                text = text.lower()
+            for blank in "\n\t\r":
+                text = text.replace(blank, " ")
+            own = text.split(" ")
+            split.append(own)
+            runs.update(own)
+        self.learn(runs)
+        get = self.known.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
 
 
 def encoder(path: str) -> Encoder:
@@ -112,7 +170,7 @@ def _encoding(path: str):
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                ids = [own.encode(t.decode("utf-8", "replace")) + end for t in part.column(1).to_pylist()]
+                ids = [x + end for x in own.encode_all([t.decode("utf-8", "replace") for t in part.column(1).to_pylist()])]
                 places = np.array([place(np.frombuffer(x, "<u2"), table) for x in ids]).reshape(-1, DIMS)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert(places)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 

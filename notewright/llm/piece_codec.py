@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SPACE, CHUNK, GIANT, CACHE, LONG_RUN = "▁", 16_384, 65_536, 200_000, 256
+SPACE, CHUNK, GIANT, CACHE, LONG_RUN = "▁", 16_384, 65_536, 300_000, 256
 UNKNOWN_PENALTY = 10.0
 _workers: dict = {}
 
@@ -65,6 +65,7 @@ class Pieces:
         if any(SPACE in t.lstrip(SPACE) for t in self.scores):
             raise ValueError("a piece holds the space sign after another character")
         self.known: dict[str, tuple[bytes, float]] = {"": (b"", 0.0)}
+        self.older: dict[str, tuple[bytes, float]] = {}
 
     def normalise(self, text: str) -> str:
         """As the model file says: identity, a space sign for each space, one before the text."""
@@ -155,9 +156,10 @@ class Pieces:
         """Ids, as 32-bit numbers, and score of a run."""
         got = self.known.get(text)
         if got is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            got = self.known[text] = self.best_run(text)
+            if len(self.known) > CACHE:  # two generations are kept
+                self.older, self.known = self.known, {"": (b"", 0.0)}
+            got = self.older.get(text) or self.best_run(text)
+            self.known[text] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
