@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -28,6 +29,9 @@ CACHE = 400_000
 _workers: dict = {}
 
 
+_TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 def latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -69,14 +73,14 @@ class Encoder:
         known, older = self.known, self.older
         new = runs.difference(known)
         if older:
-            again = new.intersection(older)
+            again = [w for w in new if w in older]
             known.update((w, older[w]) for w in again)
-            new -= again
+            new.difference_update(again)
         words = {w for w in new if w.isalpha()}
-        # a letter run with one sign behind it is two parts for any text
-        pairs = [w for w in new if w[-1] in ".,;:!?" and w[:-1].isalpha()]
-        rest = new.difference(words, pairs)
-        words.update(w[:-1] for w in pairs if w[:-1] not in known)
+        # a letter run with ASCII signs behind it is two parts for any text
+        pairs = [(w, m[1], m[2]) for w in new.difference(words) if (m := _TAILED.fullmatch(w)) and m[1].isalpha()]
+        rest = new.difference(words, (p[0] for p in pairs))
+        words.update(p[1] for p in pairs if p[1] not in known)
         for i in range(0, len(order := list(words)), 2000):
             part = order[i : i + 2000]
             joined = " ".join(part)
@@ -88,10 +92,10 @@ class Encoder:
                 known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
             else:
                 known.update((w, self.plain(w)) for w in part)
-        for sign in {w[-1] for w in pairs}.union(rest):
-            if sign not in known:
-                known[sign] = self.plain(sign)
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in pairs)
+        for part in {p[2] for p in pairs}.union(rest):
+            if part not in known:
+                known[part] = self.plain(part)
+        known.update((w, known[letters] + known[tail]) for w, letters, tail in pairs)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split: list = []
@@ -108,7 +112,8 @@ class Encoder:
             split.append(own)
             runs.update(own)
         self.learn(runs)
-        get = self.known.__getitem__
+        near = {w: self.known[w] for w in runs}  # small enough to stay in the processor's cache
+        get = near.__getitem__
         return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
 
 

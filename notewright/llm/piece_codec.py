@@ -66,6 +66,7 @@ class Pieces:
             raise ValueError("a piece holds the space sign after another character")
         self.known: dict[str, tuple[bytes, float]] = {"": (b"", 0.0)}
         self.older: dict[str, tuple[bytes, float]] = {}
+        self.words: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         """As the model file says: identity, a space sign for each space, one before the text."""
@@ -163,8 +164,21 @@ class Pieces:
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        run = self.run
-        return np.frombuffer(b"".join([run(r)[0] for r in self.runs(self.normalise(text))]), "<i4")
+        if not text:
+            return np.zeros(0, "<i4")
+        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+            return np.frombuffer(b"".join([self.run(r)[0] for r in self.runs(self.normalise(text))]), "<i4")
+        # every run is a space sign and what stands between two spaces
+        if len(self.words) > 2 * CACHE:
+            self.words.clear()
+        words = self.words
+        out = []
+        for w in text.split(" "):
+            ids = words.get(w)
+            if ids is None:
+                ids = words[w] = self.best_run(SPACE + w)[0]
+            out.append(ids)
+        return np.frombuffer(b"".join(out), "<i4")
 
     # the parallel scan
 
