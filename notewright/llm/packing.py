@@ -19,16 +19,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-LIMIT, END_ID, DIMS, BITS, SPECIAL = 2048, 1, 4, 12, (b"<|startoftext|>", b"<|endoftext|>")
-CACHE = 400_000
+LIMIT, END_ID, DIMS, BITS = 2048, 1, 4, 12
+#: Characters of text that are encoded together, at least one document.
+TOGETHER = 10_000_000
 _workers: dict = {}
 
 
+_BLANKS = str.maketrans("\n\t\r", "   ")
 _TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
@@ -41,10 +44,10 @@ def latin(text: str) -> bool:
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 16-bit numbers (the vocabulary is below 65 536).
+    """Token ids of whole texts, as 16-bit numbers (the vocabulary is below 65 536).
 
-    No token spans white space, so each distinct run between is encoded once and kept, for two generations of
-    CACHE runs.  Runs of letters alone end at their one token with a word end, so many of them are encoded in one call.
+    No token spans white space, so each distinct run between, of all texts at hand, is encoded once.
+    Runs of letters alone end at their one token with a word end, so many of them are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -60,27 +63,18 @@ class Encoder:
         self.ends = np.zeros(1 << 16, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, runs: set[str]) -> None:
-        """Encodes what isn't known of the runs."""
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {"": b""}
-        known, older = self.known, self.older
-        new = runs.difference(known)
-        if older:
-            again = [w for w in new if w in older]
-            known.update((w, older[w]) for w in again)
-            new.difference_update(again)
-        words = {w for w in new if w.isalpha()}
+    def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The runs' ids one after another, and each one's number of ids."""
+        known: dict[str, bytes] = {"": b""}
+        words = {w for w in runs if w.isalpha()}
         # a letter run with ASCII signs behind it is two parts for any text
-        pairs = [(w, m[1], m[2]) for w in new.difference(words) if (m := _TAILED.fullmatch(w)) and m[1].isalpha()]
-        rest = new.difference(words, (p[0] for p in pairs))
-        words.update(p[1] for p in pairs if p[1] not in known)
+        pairs = [(w, m[1], m[2]) for w in runs if w not in words and (m := _TAILED.fullmatch(w)) and m[1].isalpha()]
+        rest = set(runs).difference(words, known, (p[0] for p in pairs))
+        words.update(p[1] for p in pairs)
         for i in range(0, len(order := list(words)), 2000):
             part = order[i : i + 2000]
             joined = " ".join(part)
@@ -93,28 +87,30 @@ class Encoder:
             else:
                 known.update((w, self.plain(w)) for w in part)
         for part in {p[2] for p in pairs}.union(rest):
-            if part not in known:
-                known[part] = self.plain(part)
+            known[part] = self.plain(part)
         known.update((w, known[letters] + known[tail]) for w, letters, tail in pairs)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split: list = []
-        runs: set[str] = set()
-        for text in texts:
-            if "<|" in text:  # special tokens are found before anything else
-                split.append(self.plain(text))
-                continue
-            if latin(text):  # lower case is letter by letter there, as the tokenizer's
+        found = [known[w] for w in runs]
+        return np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int64)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        special = {i: np.frombuffer(self.plain(t), "<u2") for i, t in enumerate(texts) if "<|" in t}  # special tokens are found before anything else
+        plain = []
+        for i, text in enumerate(texts):
+            if i in special:
+                text = ""
+            elif latin(text):  # lower case is letter by letter there, as the tokenizer's
                 text = text.lower()
-            for blank in "\n\t\r":
-                text = text.replace(blank, " ")
-            own = text.split(" ")
-            split.append(own)
-            runs.update(own)
-        self.learn(runs)
-        near = {w: self.known[w] for w in runs}  # small enough to stay in the processor's cache
-        get = near.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
+            plain.append(text.translate(_BLANKS) if len(text) < 64 else text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids, sizes = self.encode_runs(coded.dictionary.to_pylist())
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        return [special[i] if i in special else flat[a:b] for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
 
 def encoder(path: str) -> Encoder:
@@ -171,13 +167,29 @@ def _encoding(path: str):
         own = encoder(path)
         if "table" not in _workers:
             _workers["table"] = projection()
-        table, end = _workers["table"], np.array([END_ID], "<u2").tobytes()
+        table = _workers["table"]
+        docs: list = []
+        texts: list[str] = []
+        size = 0
+
+        def out():
+            ids = [np.append(x, END_ID).astype("<u2") for x in own.encode_all(texts)]
+            places = np.array([place(x, table) for x in ids]).reshape(-1, DIMS)
+            keys = hilbert(places)
+            for i in range(0, len(ids), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), pa.array(keys[i : i + 500]), pa.array([x.tobytes() for x in ids[i : i + 500]], pa.binary())], ["doc_id", "key", "ids"])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                ids = [x + end for x in own.encode_all([t.decode("utf-8", "replace") for t in part.column(1).to_pylist()])]
-                places = np.array([place(np.frombuffer(x, "<u2"), table) for x in ids]).reshape(-1, DIMS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert(places)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = raw.as_py().decode("utf-8", "replace")
+                docs.append(doc)
+                texts.append(text)
+                size += len(text)
+                if size >= TOGETHER:
+                    yield from out()
+                    docs, texts, size = [], [], 0
+        if docs:
+            yield from out()
 
     return run
 
