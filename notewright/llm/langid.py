@@ -74,7 +74,7 @@ class Model:
     def _logs(counts, k):
         total = sum(counts.values(), np.zeros(k))
         keys = list(counts)
-        logs = np.log((np.array([counts[x] for x in keys]).reshape(-1, k) + 0.1) / (total + 0.1 * (len(counts) + 1))).astype(np.float32)
+        logs = np.log((np.array([counts[x] for x in keys], float).reshape(len(keys), k) + 0.1) / (total + 0.1 * (len(counts) + 1))).astype(np.float32)
         return {x: i for i, x in enumerate(keys)}, logs
 
     def unseen(self, word: str) -> np.ndarray:
