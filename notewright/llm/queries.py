@@ -72,8 +72,21 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for those that SQL can express; it has no SHA-1 base32 of its own nor tokenizers, models and Arrow kernels."""
+    """DuckDB SQL for those that SQL can express; it has no XXH64, tokenizers, models and media containers."""
     return {
+        "op10_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+            d AS (
+              SELECT page_id, octet_length(encode(payload)) AS n, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits,
+                min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+            SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+              list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+                + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+                + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER)
+                + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER) AS BIGINT), 1)), lambda a, b: a || b) AS payload_digest,
+              CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+              CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+            FROM d""",
         "op3_topk": """
             WITH v AS (
               SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings

@@ -36,7 +36,7 @@ def _shards(size: int):
         x = np.floor(np.asarray(vectors, np.float64) * 64)
         if np.abs(x).max(initial=0) >= 2.0**62:
             raise OverflowError("a component's 64-fold is beyond a long")
-        key = int(ids[0]) * 1_000_003 + len(ids) * 31 + dim
+        key = (int(ids[0]) * 1_000_003 + len(ids) * 31 + dim) % (1 << 63)  # shards of one key are taken together
         return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([dim], pa.int32()), pa.array([np.asarray(ids, np.int64).tobytes()], pa.binary()), pa.array([x.astype(np.int64).tobytes()], pa.binary())], ["shard", "dim", "ids", "mat"])
 
     def run(batches):

@@ -118,6 +118,25 @@ def test_toxicity_restores_and_scores(spark):
     assert len(none) == len(docs) + len(hidden) + 1 and not any(r.predicted for r in none)
 
 
+def test_toxicity_decodes_long_spans_whole():
+    chars = toxicity.CharModel({g: 5 for w in ("awful", "nice", "day") for g in toxicity.char_grams(w)})
+    model = toxicity.Model({"awful": 3.0}, chars, np.array([-4.0, 2.0, 1.0, 1.0]))
+    assert model.score("a nice day") < 0.5 < model.score("n i c e a w f u l d a y")
+    for i in range(300):  # wherever it stands in a span longer than a window
+        text = "n i c e " * i + "a w f u l" + " d a y" * 60
+        assert model.score(text) > 0.5, i
+    for n in (1, 256, 257, 448, 449, 1000):
+        parts = toxicity.windows("x" * n)
+        assert max(map(len, parts)) <= toxicity.WINDOW and (len(parts) - 1) * 192 + len(parts[-1]) == n
+
+
+def test_topk_takes_the_largest_ids(spark):
+    top = (1 << 63) - 8
+    df = spark.createDataFrame([(top, [1.0, 2.0]), (top - 1, [1.0, 1.0]), (-(1 << 63), [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(df, every=1).collect()}
+    assert len(got) == 6 and got[top, 1] == (top - 1, 64 * 64 + 128 * 64)
+
+
 def test_simhash(docs, rows):
     def fp(t):
         w = b(t).lower().split()
