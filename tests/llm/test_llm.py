@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from notewright.llm import common, langid, lm_scoring, matroska, packing, pii, piece_codec, queries, simhash, topk, toxicity, warc
+from notewright.llm import common, langid, lm_scoring, matroska, near_copies, packing, pii, piece_codec, queries, simhash, topk, toxicity, warc
 
 RNG = random.Random(5)
 SYL = ["ba", "ke", "lo", "mi", "tu", "ran", "sel", "dor", "vin", "pax"]
@@ -302,3 +302,38 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
         assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 0 in ids and 60 not in ids
+
+
+def test_pipeline_drops_near_copies_beyond_three_bits(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    made, sets, far = [], [], 0
+    for i in range(40):
+        words = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(120)]
+        made.append((i, " ".join(words)))
+        for k, changes in enumerate((1, 2, 6)):
+            other = list(words)
+            for at in rng.sample(range(120), changes):
+                other[at] = f"other{at}"
+            made.append((100 + 3 * i + k, " ".join(other)))
+    sets = [set(near_copies.shingle_set(t.encode()).tolist()) for _, t in made]
+    least = {d: d for d, _ in made}
+    links = [(x, y) for x in range(len(made)) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    far = sum((simhash.fingerprint(made[x][1].encode()) ^ simhash.fingerprint(made[y][1].encode())).bit_count() > 3 for x, y in links)
+    for _ in range(4):
+        for x, y in links:
+            a, b = made[x][0], made[y][0]
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()}
+    assert far > 20 and kept == {d for d in least if least[d] == d}
+
+
+def test_near_copies_of_one_text_meet_it_on_large_keys(spark):
+    words = [f"w{i}" for i in range(100)]
+    made = [(i, " ".join(f"x{i}" if k in (i % 90, (7 * i + 40) % 90) else w for k, w in enumerate(words))) for i in range(1, 200)] + [(0, " ".join(words))]
+    got = near_copies.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    sets = {d: set(near_copies.shingle_set(t.encode()).tolist()) for d, t in made}
+    near = {d for d, s in sets.items() if len(s & sets[0]) >= 0.8 * len(s | sets[0])}
+    assert len(near) > 100 and near <= {r.doc_id for r in got if r.component_id == 0}
