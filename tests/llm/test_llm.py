@@ -337,3 +337,10 @@ def test_near_copies_of_one_text_meet_it_on_large_keys(spark):
     sets = {d: set(near_copies.shingle_set(t.encode()).tolist()) for d, t in made}
     near = {d for d, s in sets.items() if len(s & sets[0]) >= 0.8 * len(s | sets[0])}
     assert len(near) > 100 and near <= {r.doc_id for r in got if r.component_id == 0}
+
+
+def test_matroska_feature_takes_every_sample(spark):
+    text = "a" * 5000
+    made = [(i, text if i < 0 else text[:i] + "b" + text[i + 1 :]) for i in (-1, *range(1, 5000, 61))]
+    got = {r.doc_id: r.feature for r in matroska.media_features(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert all(got[i] != got[-1] for i in got if i >= 0)
