@@ -8,6 +8,9 @@ secrets after ``password=``, ``token =`` and the like, and names after a title.
 - cards keep their first digit, length, grouping and a valid Luhn digit; IPs stay IPs; mail domains and phone and country prefixes keep their form;
 - names are taken from lists of the title's gender and the name's script, and carry a keyed suffix where two names would coincide.
 
+Entities are known by a normal form: mail addresses without case, phones, cards and IBANs without separators.  A name takes all its capitalised words;
+within a document, later and earlier mentions of it without a title, and of its single words, get the same surrogate or its matching word.
+
 Collisions are checked over the whole corpus: distinct entities are gathered once by key, surrogates that two entities share, or that
 are themselves an entity of the corpus, are drawn again with the next number until none is left.  A cipher can only meet an entity of the corpus,
 and a name another name: these few go in a table, joined by key with the documents that hold them.
@@ -44,6 +47,9 @@ GIVEN = {
     ("GREEK", "n"): ("Αλέξ", "Φώτης"),
 }
 SYLLABLES = {"LATIN": "ba be bo da de do ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo", "CYRILLIC": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро", "GREEK": "βα βε βο δα δε δο κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο"}
+#: Lower-case words within names, and capitalised words that no name goes on with (fixed values).
+PARTICLES = ("de", "del", "della", "la", "las", "los", "di", "da", "do", "dos", "du", "le", "van", "von", "der", "den", "ter", "zu", "bin", "ibn", "al", "el", "y", "e")
+NO_NAME = set("A After Also An And As At Before But By For From Has He Her His How I If In Is It My No Not Of On Or Our She So That The Their Then There They This To Was We What When Where Who Why With Yes You Your".split())
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 #: A type's pattern; what is replaced is group v where there is one.
 PATTERNS = (
@@ -55,8 +61,10 @@ PATTERNS = (
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"),
     ("phone", r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{9,14}|\d{3}(?P<sep>[ .-])\d{3}(?P=sep)\d{4})(?![\w-]|\.\d)"),
-    ("name", r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(_GENDER, key=len, reverse=True))) + r")\.? (?P<v>[^\W\d_]+(?:[ -][^\W\d_]+)?)"),
+    ("name", r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(_GENDER, key=len, reverse=True))) + r")\.? (?P<v>[^\W\d_]+(?:['’-][^\W\d_]+)*)"),
 )
+#: What may follow in a name: an initial's dot, particles, a further word.
+_FURTHER = re.compile(r"(?:(?<=\b[^\W\d_])\.)? (?:(?:" + "|".join(PARTICLES) + r") )*(?P<w>[^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _ALL = re.compile("|".join(f"(?P<{n}>{p.replace('?P<v>', f'?P<v_{n}>')})" for n, p in PATTERNS))
 #: A text with none of these has none of the entities.
 _HINT = re.compile(r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_\-/+]{6}|(?:" + "|".join(map(re.escape, _GENDER)) + r")\.? ")
@@ -91,9 +99,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         start, end = m.span(group)
         context = ""
         if kind == "name":
-            parts = re.split(r"([ -])", text[start:end])
-            if len(parts) == 3 and not parts[2][0].isupper():
-                end = start + len(parts[0])
+            while (w := _FURTHER.match(text, end)) and w["w"][0].isupper() and w["w"] not in NO_NAME and w["w"] not in _GENDER:
+                end = w.end()
             context = text[m.start() : start].rstrip(". ")
         if accept(kind, text[start:end]):
             out.append((start, end, kind, context))
@@ -103,6 +110,87 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def name_words(name: str) -> list[str]:
+    """The words of a name that get words of its surrogate: all but particles; capitals and dots don't matter."""
+    words = [w.rstrip(".") for w in name.split()]
+    return [w.capitalize() if len(w) > 2 and w.isupper() else w for w in words if w not in PARTICLES]
+
+
+def normal(kind: str, value: str) -> str:
+    """What an entity is known by, however it is written."""
+    if kind == "email":
+        return value.lower()
+    if kind in ("phone", "card"):
+        return "".join(c for c in value if c.isdigit() or c == "+")
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
+    return " ".join(name_words(value)) if kind == "name" else value
+
+
+def fitted(kind: str, value: str, new: str, part: tuple[int, ...] = ()) -> str:
+    """The surrogate of a normal form in the way that the entity, or the parts of a name, are written."""
+    if kind == "email":
+        return "".join(b.upper() if a.isupper() else b for a, b in zip(value, new, strict=True))
+    if kind in ("phone", "card", "iban"):
+        left = iter(c for c in new if c != "+")
+        return "".join(next(left) if c.isalnum() else c for c in value)
+    if kind == "name":
+        if part:
+            words = new.split()
+            new = " ".join(words[i] for i in part)
+        return new.upper() if len(value) > 2 and value.isupper() else new
+    return new
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str, str, tuple[int, ...]]]:
+    """(start, end, type, context, normal form, parts) of each entity, and of each further mention of a name or a part of it.
+
+    A name whose words a longer name of the text has is a mention of that one; parts number the words of its surrogate, and
+    none are the whole.  Of names that share a word, the longest and then the first has the word alone.
+    """
+    found = [(a, b, kind, context, normal(kind, text[a:b])) for a, b, kind, context in find(text)]
+    titled = dict.fromkeys(f[4] for f in reversed(found) if f[2] == "name")
+    if not titled:
+        return [(*f, ()) for f in found]
+    contexts = {f[4]: f[3] for f in reversed(found) if f[2] == "name"}
+    whole: dict[str, tuple] = {}
+    alone: dict[str, tuple] = {}
+    for name in sorted(reversed(titled), key=lambda n: -len(n.split())):
+        words = name.split()
+        longer = next((n for n, (_, part) in whole.items() if not part and len(n.split()) > len(words) and set(words) <= set(n.split())), None)
+        if longer:
+            whole[name] = (longer, tuple(longer.split().index(w) for w in words))
+            continue
+        whole[name] = (name, ())
+        for i, w in enumerate(words):
+            for x in {w, *w.split("-")}:
+                if len(x) > 1 and x[0].isupper() and x not in NO_NAME:
+                    alone.setdefault(x, (name, (i,) if len(words) > 1 else ()))
+    out = [(a, b, kind, contexts[whole[v][0]], *whole[v]) if kind == "name" else (a, b, kind, context, v, ()) for a, b, kind, context, v in found]
+    forms = {**alone, **whole, **{text[a:b]: whole[v] for a, b, kind, _, v in found if kind == "name"}}
+    forms |= {f.upper(): x for f, x in list(forms.items()) if len(f) > 2 and f.upper() not in forms}
+    again = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(f) for f in sorted(forms, key=len, reverse=True) if len(f) > 1) + r")(?!\w)")
+    spans, k, more = sorted(x[:2] for x in out), 0, []
+    for m in again.finditer(text):
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if k == len(spans) or spans[k][0] >= m.end():
+            name, part = forms[m[0]]
+            more.append((*m.span(), "name", contexts[name], name, part))
+    return sorted(out + more)
+
+
+#: Lengths of country codes: one digit for 1 and 7, two for these, else three (ITU-T E.164).
+_TWO_DIGITS = {"20", "27", *map(str, range(30, 35)), "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)), *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"}
+
+
+def country_digits(phone: str) -> int:
+    """Digits of the country code of a phone number in normal form."""
+    return 0 if phone[0] != "+" else 1 if phone[1] in "17" else 2 if phone[1:3] in _TWO_DIGITS else 3
+
+
 def _prf(key: bytes, *parts) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
 
@@ -169,8 +257,8 @@ def surrogate(kind: str, value: str, context: str, key: bytes = KEY, draw: int =
             halves[r % 2] = (halves[r % 2] + _prf(key, tweak, r, halves[1 - r % 2])) % 65536
         return ".".join(str(b) for h in halves for b in (h >> 8, h & 255))
     if kind == "phone":
-        first = len(re.match(r"\+\d{1,3}", value)[0]) if value[0] == "+" and re.match(r"\+\d{1,3}(?=\D)", value) else 0
-        return permute(value, key, tweak, keep=lambda i, c: i < first)
+        first = country_digits(value)
+        return permute(value, key, tweak, keep=lambda i, c: i <= first and value[0] == "+")
     if kind == "key":
         return permute(value, key, tweak, keep=lambda i, c: i < 4)
     if kind == "iban":
@@ -182,9 +270,11 @@ def surrogate(kind: str, value: str, context: str, key: bytes = KEY, draw: int =
         n = _prf(key, tweak, value)
         given = GIVEN[script, gender]
         parts = [given[n % len(given)]]
-        if len(value.split()) > 1 or "-" in value or draw:
-            syllables = SYLLABLES[script].split()
-            n //= len(given)
+        syllables = SYLLABLES[script].split()
+        n //= len(given)
+        for more in range(max(len(value.split()) - 1, int("-" in value or draw > 0))):
+            if more:
+                n = _prf(key, tweak, value, more)
             parts.append("".join(syllables[n // len(syllables) ** i % len(syllables)] for i in range(3 + draw // 8)).capitalize())
         return " ".join(parts)
     return permute(value, key, tweak)
@@ -196,8 +286,8 @@ def _entities(key: bytes):
             found: dict = {}
             for text in batch.column(0).to_pylist():
                 if text:
-                    for a, b, kind, context in find(text):
-                        found[kind, text[a:b], _GENDER.get(context, "") and context] = None
+                    for _, _, kind, context, value, _ in mentions(text):
+                        found[kind, value, _GENDER.get(context, "") and context] = None
             rows = [(k, v, c, surrogate(k, v, c, key)) for k, v, c in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "value", "context", "surrogate"])
@@ -239,8 +329,9 @@ def surrogate_table(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -
 
 def replace(text: str, key: bytes, table: dict) -> tuple[str, int, list[str]]:
     out, at, kinds = [], 0, []
-    for a, b, kind, context in find(text):
-        out += [text[at:a], table.get((kind, text[a:b])) or surrogate(kind, text[a:b], context, key)]
+    for a, b, kind, context, value, part in mentions(text):
+        new = table.get((kind, value)) or surrogate(kind, value, context, key)
+        out += [text[at:a], fitted(kind, text[a:b], new, part)]
         kinds.append(kind)
         at = b
     return "".join([*out, text[at:]]), len(kinds), sorted(set(kinds))
@@ -266,7 +357,7 @@ def _replacing(key: bytes, text_at: int, n_columns: int, names):
 def _holders(batches):
     for batch in batches:
         for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = sorted({(kind, text[a:b]) for a, b, kind, _ in find(text)}) if text else []
+            rows = sorted({(m[2], m[4]) for m in mentions(text)}) if text else []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([uid] * len(rows), pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["uid", "kind", "value"])
 

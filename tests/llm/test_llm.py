@@ -344,3 +344,20 @@ def test_matroska_feature_takes_every_sample(spark):
     made = [(i, text if i < 0 else text[:i] + "b" + text[i + 1 :]) for i in (-1, *range(1, 5000, 61))]
     got = {r.doc_id: r.feature for r in matroska.media_features(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert all(got[i] != got[-1] for i in got if i >= 0)
+
+
+def test_pii_keeps_coreference(spark):
+    made = ["Bell rang. Dr Anna Bell called. Anna Bell left, then Bell's phone; ANNA BELL, Dr. Bell and Anna. A Bellman stayed.", "Mr Juan Garcia Lopez met Mrs Eva de la Cruz. Lopez and Garcia; Cruz too. Mr J. O'Neil."]
+    made += ["a.b@Mail4.example.com A.B@MAIL4.EXAMPLE.COM a.b@mail4.example.com", "+1 (736) 555-7859 or +1 736 555 7859 or +17365557859", "4799134681044206 4799 1346 8104 4206", "GB29NWBK60161331926819 and GB29 NWBK 6016 1331 9268 19."]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    given, family = got[0].split("Dr ")[1].split()[:2]
+    assert got[0] == f"{family} rang. Dr {given} {family} called. {given} {family} left, then {family}'s phone; {given.upper()} {family.upper()}, Dr. {family} and {given}. A Bellman stayed."
+    assert not any(x in got[1] for x in ("Juan", "Garcia", "Lopez", "Eva", "Cruz", "Neil"))
+    one, two, three = got[1].split("Mr ")[1].split()[:3]
+    assert f"{three} and {two};" in got[1]
+    mail = got[2].split()
+    assert len({x.lower() for x in mail}) == 1 and mail[1].isupper() and mail[0] != made[2].split()[0]
+    phones = {"".join(c for c in x if c.isdigit()) for x in got[3].split(" or ")}
+    assert len(phones) == 1 and phones != {"17365557859"} and all(x.startswith("+1") for x in got[3].split(" or "))
+    assert got[4].split(" ", 1)[0] == got[4].split(" ", 1)[1].replace(" ", "") != "4799134681044206"
+    assert got[5].split(" and ")[0] == got[5].split(" and ")[1].replace(" ", "").rstrip(".") != "GB29NWBK60161331926819"
