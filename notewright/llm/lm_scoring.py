@@ -232,6 +232,10 @@ def score_documents(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) ->
     counts = common.materialise(count_words(train_docs), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = head_words(counts, HEAD)
+    least = min((n for _, _, n in head), default=1 << 62)
+    # the end sign is looked up in the head, whatever its rank
+    if total and all(w != END for w, _, _ in head):
+        head += [(END, -1, r[0]) for r in counts.where(F.col("word") == F.lit(END)).select("n").collect()]
     sums = {r[0]: r[1] for r in counts.where("cls >= 0").groupBy("cls").agg(F.sum(F.col("n") + 1)).collect()}
     lexicon = spark.sparkContext.broadcast(pickle.dumps(Lexicon(head, sums, total, distinct)))
     triples = train_docs.select(common.text_bytes().alias("text")).mapInArrow(_triples(lexicon), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -241,7 +245,6 @@ def score_documents(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) ->
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", common.text_bytes().alias("text")).mapInArrow(
         _scoring(lexicon, table), "uid long, word binary, cnt int, cls int, doc_id long, n_tokens long, n_known long, base double, score double"
     )
-    least = min((n for _, _, n in head), default=1 << 62)
     tail = counts.where(F.col("n") < least).select("word", F.log10(F.col("n") + 1).alias("log_c"))
     found = rows.join(tail, "word", "left").withColumn("log_c", F.coalesce(F.col("log_c") * F.col("cnt"), F.lit(0.0))).withColumn("hit", F.when(F.col("log_c") > 0, F.col("cnt")).otherwise(0))
     out = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum("hit")).alias("n_known"), (F.max("base") + F.sum("log_c")).alias("base_score"), (F.max("score") + F.sum("log_c")).alias("score"))

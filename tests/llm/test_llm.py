@@ -361,3 +361,13 @@ def test_pii_keeps_coreference(spark):
     assert len(phones) == 1 and phones != {"17365557859"} and all(x.startswith("+1") for x in got[3].split(" or "))
     assert got[4].split(" ", 1)[0] == got[4].split(" ", 1)[1].replace(" ", "") != "4799134681044206"
     assert got[5].split(" and ")[0] == got[5].split(" and ")[1].replace(" ", "").rstrip(".") != "GB29NWBK60161331926819"
+
+
+def test_lm_counts_the_end_sign_below_the_head(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 4)
+    made = [(next(i for i in range(99) if zlib.crc32(b"%d" % i) % 7 != 2), "a a a b b b c c c d d e e f")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    (got,) = lm_scoring.score_documents(df).collect()
+    c = Counter([*b(made[0][1]).split(), b" "])
+    n, v = sum(c.values()), len(c)
+    assert got.n_known == got.n_tokens == n and got.base_score == pytest.approx(sum(k * math.log10((k + 1) / (n + v + 1)) for k in c.values()))
