@@ -7,7 +7,7 @@ that order: sequences of LIMIT tokens are filled to the last token, cutting wher
 left at the end of a task's range is cut into powers of two, which need no padding.
 
 Null or empty text: the end id alone.  Rows: one for each piece; repeated rows and null ids are documents of their own.
-An empty table gives no rows.
+An empty table gives no rows.  Other columns than the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from . import common
 LIMIT, END_ID, DIMS, BITS = 2048, 1, 4, 12
 #: Characters of text that are encoded together, at least one document.
 TOGETHER = 10_000_000
+#: Distinct runs whose ids a worker keeps between calls.
+CACHE = 300_000
 _workers: dict = {}
 
 
@@ -47,7 +49,8 @@ class Encoder:
     """Token ids of whole texts, as 16-bit numbers (the vocabulary is below 65 536).
 
     No token spans white space, so each distinct run between, of all texts at hand, is encoded once.
-    Runs of letters alone end at their one token with a word end, so many of them are encoded in one call.
+    Runs of letters end at their one token with a word end, so many of them are encoded in one call; a call that gives another
+    number of ends holds a letter whose lower case is more than letters, and its runs are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -63,32 +66,42 @@ class Encoder:
         self.ends = np.zeros(1 << 16, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        #: Ids of runs met before, and the letter runs among them that are several parts to the tokenizer.
+        self.known: dict[str, bytes] = {"": b""}
+        self.several: set[str] = set()
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The runs' ids one after another, and each one's number of ids."""
-        known: dict[str, bytes] = {"": b""}
-        words = {w for w in runs if w.isalpha()}
-        # a letter run with ASCII signs behind it is two parts for any text
-        pairs = [(w, m[1], m[2]) for w in runs if w not in words and (m := _TAILED.fullmatch(w)) and m[1].isalpha()]
-        rest = set(runs).difference(words, known, (p[0] for p in pairs))
-        words.update(p[1] for p in pairs)
+        """The distinct runs' ids one after another, and each one's number of ids."""
+        if len(self.known) > CACHE:
+            self.known, self.several = {"": b""}, set()
+        known = self.known
+        new = [w for w in runs if w not in known]
+        words = {w for w in new if w.isalpha()}
+        # letters with ASCII signs behind them are two parts, if the letters are one token's worth of letters in lower case too
+        pairs = [(w, m[1], m[2]) for w in new if w not in words and (m := _TAILED.fullmatch(w)) and m[1].isalpha()]
+        rest = set(new).difference(words, (p[0] for p in pairs))
+        words.update(p[1] for p in pairs if p[1] not in known)
         for i in range(0, len(order := list(words)), 2000):
             part = order[i : i + 2000]
             joined = " ".join(part)
             with_ids = self.lean if latin(joined) and joined == joined.lower() else self.tokenizer
             ids = np.array(with_ids.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
+            if len(ends) == len(part):  # each word has one end at least
                 raw, cuts = ids.tobytes(), (ends * 2).tolist()
                 known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
             else:
-                known.update((w, self.plain(w)) for w in part)
-        for part in {p[2] for p in pairs}.union(rest):
+                for w in part:
+                    known[w] = self.plain(w)
+                    if self.ends[np.frombuffer(known[w], "<u2")].sum() != 1:
+                        self.several.add(w)
+        rest.update(p[0] for p in pairs if p[1] in self.several)
+        for part in {p[2] for p in pairs if p[2] not in known}.union(rest):
             known[part] = self.plain(part)
-        known.update((w, known[letters] + known[tail]) for w, letters, tail in pairs)
+        known.update((w, known[letters] + known[tail]) for w, letters, tail in pairs if letters not in self.several)
         found = [known[w] for w in runs]
         return np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int64)
 

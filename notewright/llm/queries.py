@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from . import common, langid, lm_scoring, matroska, packing, pii, piece_codec, simhash, topk, toxicity, warc
 
-#: Where the public tokenizers' files lie; a parameter.
-TOKENIZERS = os.environ.get("NOTEWRIGHT_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file: in the folder NOTEWRIGHT_TOKENIZERS, if it is set, else where the package has it."""
+    folder = os.environ.get("NOTEWRIGHT_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +30,7 @@ def op1_lm_scoring(spark, sf_dir):
 
 
 def op2_sentencepiece(spark, sf_dir):
-    return piece_codec.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return piece_codec.encode(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op3_topk(spark, sf_dir):
@@ -47,7 +54,7 @@ def op7_matroska(spark, sf_dir):
 
 
 def op8_packing(spark, sf_dir):
-    return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op9_langid(spark, sf_dir):

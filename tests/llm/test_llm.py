@@ -14,7 +14,7 @@ from notewright.llm import common, langid, lm_scoring, matroska, near_copies, pa
 RNG = random.Random(5)
 SYL = ["ba", "ke", "lo", "mi", "tu", "ran", "sel", "dor", "vin", "pax"]
 WORDS = ["".join(RNG.choice(SYL) for _ in range(RNG.randint(1, 3))) for _ in range(150)]
-PIECES, TOKENS = f"{queries.TOKENIZERS}/piece_bpe_32k.model", f"{queries.TOKENIZERS}/word_bpe_49k.json"
+PIECES, TOKENS = queries.tokenizer_path("piece_bpe_32k.model"), queries.tokenizer_path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, uid string, key string"
 
 
@@ -371,3 +371,29 @@ def test_lm_counts_the_end_sign_below_the_head(spark, monkeypatch):
     c = Counter([*b(made[0][1]).split(), b" "])
     n, v = sum(c.values()), len(c)
     assert got.n_known == got.n_tokens == n and got.base_score == pytest.approx(sum(k * math.log10((k + 1) / (n + v + 1)) for k in c.values()))
+
+
+def test_packing_ids_are_the_tokenizers_for_any_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 500)
+    rng = random.Random(17)
+    whites = [chr(i) for i in range(0x3001) if chr(i).isspace()] + ["\u200b", "\ufeff"]
+    marks = [chr(i) for i in [*range(0x300, 0x36F), 0x5B0, 0x93E, 0x3099]]
+    letters = [*"abzİIıſKÅßẞǅΣςσϒéñ", *(chr(i) for i in range(0x41, 0x250)), "ﬁ", "중", "ᄀ", "ᅡ", "अ", "ё", "ª", "ʰ"]
+    other = [*"0179½²Ⅷ٣", *"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~", "'s", "'T", "'ll", "<|endoftext|>", "<|", "€", "…", "😀", "\x00", "\x7f", "\ud7ff", "\ue000", "\U0010ffff"]
+
+    def made():
+        out = []
+        for _ in range(rng.randint(0, 40)):
+            pool = rng.choices((letters, other, whites, marks, ["TARİHİ.", "it's", "word,", "Ends."]), (8, 3, 3, 1, 1))[0]
+            c = rng.choice(pool)
+            out.append(c if rng.random() < 0.97 else chr(rng.choice([*range(0xD800), *range(0xE000, 0x30000)])))
+        return "".join(out)
+
+    texts = [made() for _ in range(6000)] + ["TARİHİ.", "İ. İ, x", "İ"]
+    tokenizer, own = Tokenizer.from_file(TOKENS), packing.Encoder(TOKENS)
+    for start in range(0, len(texts), 700):
+        part = texts[start : start + 700]
+        for text, ids in zip(part, own.encode_all(part), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
