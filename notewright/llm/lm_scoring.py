@@ -1,18 +1,21 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
-The words of all training texts are counted over the whole corpus.  The commonest words and the end
-sign are symbols of their own; every other word belongs to one of ``CLASSES`` symbols by its last three
-bytes.  A numpy log-bilinear model predicts a symbol from the two before it: the predicted vector is
-R[u2] C2 + R[u1] C1, the score of symbol w its product with Q[w] plus b[w].  It is trained by
-noise-contrastive estimation on the exact number of each symbol triple in *all* training texts (a tensor
-of at most SYMBOLS ** 3 cells, whatever the corpus), with the unigram distribution as noise.  Batched
-matrix products then give every context's scores and its exact normaliser.  Within a class, a word has
-probability (c + 1) / (sum of the class's c + 1, plus 1 for unseen words), so that the whole is a proper
-distribution over the known words and one unseen event a class.
-
-Words outside the ``HEAD`` commonest never meet a broadcast table: they are joined by key with the table
+The words of all training texts are counted over the whole corpus.  The commonest words (``symbol_words`` of the number of
+tokens, so their number grows with the corpus) and the end sign are symbols of their own; every other word belongs to one of
+``CLASSES`` symbols by its last three bytes, in which it has probability (c + 1) / (sum of the class's c + 1, plus 1 for unseen words).
+
+A log-bilinear model predicts a symbol from the two before it: the predicted vector is h = R[u2] C2 + R[u1] C1.  Symbols lie
+in groups by frequency, about as many as a group has members; the score of group g is h QG[g] + bG[g], that of symbol w in its
+group h Q[w] + b[w].  Both choices are trained by noise-contrastive estimation on *all* training texts: each task counts the
+symbol triples of its texts and trains its own copy of the model on all of them, and the copies' changes are averaged, each symbol's by
+its number of uses.  What is read and gathered grows with the corpus; the model is bounded by ``HEAD``.  A text is scored with
+batched matrix products that give both choices' exact normalisers, so that the whole is a proper distribution over the known words
+and one unseen event a class.
+
+Words outside the ``HEAD`` commonest (ties by hash and bytes) never meet a broadcast table: they are joined by key with the table
 of counts.  Rows: one per input row, repeated rows and null ids included (a null id counts as a training
-row).  A null or empty text has the end token alone.  With no training rows every count is zero.
+row).  A null or empty text has the end token alone.  With no training rows every count is zero.  Other columns than doc_id and text
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SYMBOLS, CLASSES, HEAD, DIM, NOISE = 160, 48, 65_536, 32, 8
+CLASSES, HEAD, DIM, NOISE, ROUNDS = 48, 65_536, 24, 8, 1
+#: Rows of a training step and of a matrix product; tokens that a task counts at once; least steps of a task.
+STEP, PRODUCT, TOGETHER, LEAST_STEPS = 8192, 16_384, 4_000_000, 60
+#: Parameters of one row when copies of the model are averaged.
+BLOCK = 65_536
 #: No word holds a space, so these keys can't be words.
 END = b" "
 FLUSH = 200_000
@@ -67,26 +74,55 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select(common.text_bytes().alias("text")).mapInArrow(_counting, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
 
-def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
-    """All words with a count at or above the least count that at most ``most`` words reach."""
-    steps = sorted(counts.groupBy(F.least(F.col("n"), F.lit(1 << 20)).alias("n")).count().collect(), reverse=True)
-    total, least = 0, None
-    for n, k in steps:
-        if total + k > most:
-            break
-        total, least = total + k, n
-    if least is None:
-        return []
-    return sorted(((bytes(r[0]), r[1], r[2]) for r in counts.where(F.col("n") >= least).collect()), key=lambda r: (-r[2], r[0]))
+def symbol_words(tokens: int) -> int:
+    """Words that are symbols of their own, by the number of training tokens."""
+    return min(HEAD, max(110, int(2 * tokens**0.4)))
+
+
+def cut(rows: DataFrame, column: str, most: int) -> int:
+    """The greatest t for which at most ``most`` rows have a value (0 to 2 ** 63 - 1) of at least t, plus 1 for ties: rows at t or above
+    are at most ``most``, rows at t - 1 or above more.  Found by counts of ranges of values, 65 536 at a time; rows are never gathered."""
+    low, shift, above = 0, 48, 0
+    while True:
+        inside = rows.where((F.col(column) >= low) & (F.col(column) <= low + (1 << shift + 16) - 1 if shift < 47 else F.lit(True)))
+        found = inside.groupBy(F.shiftrightunsigned(F.col(column) - F.lit(low), shift).alias("range")).count().collect()
+        for place, n in sorted(((r[0], r[1]) for r in found), reverse=True):
+            if above + n > most:
+                break
+            above += n
+        else:
+            return low
+        if not shift:
+            return low + place + 1
+        low, shift = low + (place << shift), shift - 16
+
+
+def head_words(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int, int]], Column]:
+    """The ``most`` commonest words, whatever their counts, those of greater hashes first at a tie; and the condition for all others.
+
+    At a tie of hashes too, which 63 bits make most unlikely, those words are left to the others together.
+    """
+    if counts.limit(most + 1).count() <= most:
+        rows, others = counts, F.lit(False)
+    else:
+        tie = F.shiftrightunsigned(F.xxhash64("word"), 1)
+        least = cut(counts, "n", most)
+        left = most - counts.where(F.col("n") >= least).count()
+        edge = counts.where(F.col("n") == least - 1).select(tie.alias("tie"))
+        inside = (F.col("n") >= least) | ((F.col("n") == least - 1) & (tie >= cut(edge, "tie", left)))
+        rows, others = counts.where(inside), ~inside
+    return sorted(((bytes(r[0]), r[1], r[2]) for r in rows.select("word", "cls", "n").collect()), key=lambda r: (-r[2], r[0])), others
 
 
 class Lexicon:
-    """What the scoring of one text needs besides the rare words' counts: bounded by HEAD and SYMBOLS."""
+    """What the scoring of one text needs besides the rare words' counts: bounded by HEAD."""
 
-    def __init__(self, head, class_sums, total, distinct):
+    def __init__(self, head, class_sums, total, distinct, own_words: int | None = None):
         self.total, self.distinct = total, distinct
-        own = SYMBOLS - CLASSES
-        chosen = [END] + [w for w, _, _ in head if w != END][: own - 1]
+        words_own = symbol_words(total) if own_words is None else own_words
+        chosen = [END] + [w for w, _, _ in head if w != END][:words_own]
+        self.own = own = len(chosen)
+        self.symbols = own + CLASSES
         self.symbol = {w: i for i, w in enumerate(chosen)}
         self.index, cells = {}, []
         for w, cls, n in head:
@@ -102,12 +138,16 @@ class Lexicon:
         sums = np.zeros(CLASSES)
         for cls, n in class_sums.items():
             sums[cls] = n
+        self.counts = np.zeros(self.symbols)
         for w, cls, n in head:
-            if w in self.symbol and w != END:
-                sums[cls] -= n + 1
+            if w in self.symbol:
+                self.counts[self.symbol[w]] = n
+                if w != END:
+                    sums[cls] -= n + 1
+        #: Uses of each symbol in the training texts, for classes with one for each word.
+        self.counts[own:] = np.maximum(sums, 0)
         self.class_log = np.log10(np.maximum(sums, 0) + 1)
         self.base_log = math.log10(total + distinct + 1)
-        self.own = own
 
     def look_up(self, text: bytes):
         """(symbols, head indexes or -1, rare words) of a text's words and its end sign."""
@@ -123,91 +163,235 @@ class Lexicon:
         return sym, at, rare
 
 
-def cells_of(sym: np.ndarray) -> np.ndarray:
-    """The cell (u2, u1, w) of each symbol; the end sign stands before the text."""
-    s = sym.astype(np.int64)
-    one = np.concatenate(([0], s[:-1]))
-    two = np.concatenate(([0], one[:-1]))
-    return (two * SYMBOLS + one) * SYMBOLS + s
+def contexts(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols two and one before each; the end sign stands before the text."""
+    one = np.concatenate(([0], sym[:-1])).astype(np.int64)
+    return np.concatenate(([0], one[:-1])), one
+
+
+class Model:
+    """Parameters of the log-bilinear model over ``symbols`` symbols in groups of equal width."""
+
+    def __init__(self, counts: np.ndarray, seed: int = 7):
+        self.symbols = s = len(counts)
+        self.width = w = math.isqrt(max(s - 1, 0)) + 1
+        self.groups = g = -(-s // w)
+        use = np.zeros(g * w)
+        use[:s] = counts + 0.5
+        use = use.reshape(g, w)
+        #: Noise: how often a group is used, and a symbol in its group.
+        self.group_noise = (use.sum(1) / use.sum()).astype(np.float32)
+        self.noise = (use / use.sum(1, keepdims=True)).astype(np.float32)
+        rng = np.random.default_rng(seed)
+        make = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            bias = np.maximum(np.log(self.noise), -60)  # places without a symbol
+        self.p = {"R": make(s, DIM), "C1": np.eye(DIM, dtype=np.float32), "C2": np.eye(DIM, dtype=np.float32) * 0.5, "QG": make(g, DIM), "bG": np.log(self.group_noise)[:, None], "Q": make(g * w, DIM), "b": bias.reshape(-1, 1)}
+
+    def scores(self, h: np.ndarray, group: np.ndarray):
+        """For rows sorted by group: (group, rows, scores within it)."""
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        q, b = self.p["Q"].reshape(self.groups, self.width, DIM), self.p["b"].reshape(self.groups, self.width)
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z > a:
+                k = group[a]
+                yield k, slice(a, z), h[a:z] @ q[k].T + b[k]
+
+    def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of targets after their contexts."""
+        far, near = self.p["R"] @ self.p["C2"], self.p["R"] @ self.p["C1"]
+        out = np.empty(len(target))
+        for i in range(0, len(target), PRODUCT):
+            t = target[i : i + PRODUCT]
+            order = np.argsort(t, kind="stable")
+            t = t[order]
+            h = far[two[i : i + PRODUCT][order]] + near[one[i : i + PRODUCT][order]]
+            group, place = np.divmod(t, self.width)
+            rows = np.arange(len(t))
+            got = _normalised(h @ self.p["QG"].T + self.p["bG"][:, 0], group)
+            for _, at, score in self.scores(h, group):
+                got[at] += _normalised(score, place[at])
+            out[i + order] = got[rows]
+        return out / math.log(10)
+
+    def gradient(self, two, one, target, n):
+        """The estimation's ascent direction over rows with counts n, sorted by target; and the uses of each parameter row."""
+        p, s = self.p, self.symbols
+        grad = {k: np.zeros_like(x) for k, x in p.items()}
+        kept = {"sum1": np.zeros((s, DIM), np.float32), "sum2": np.zeros((s, DIM), np.float32)}
+        far, near = p["R"] @ p["C2"], p["R"] @ p["C1"]
+        for i in range(0, len(target), PRODUCT):
+            u2, u1, t, c = two[i : i + PRODUCT], one[i : i + PRODUCT], target[i : i + PRODUCT], n[i : i + PRODUCT].astype(np.float32)
+            h = far[u2] + near[u1]
+            group, place = np.divmod(t, self.width)
+            pull = _pull(h @ p["QG"].T + p["bG"][:, 0], self.group_noise, group, c)
+            back = pull @ p["QG"]
+            grad["QG"] += pull.T @ h
+            grad["bG"][:, 0] += pull.sum(0)
+            for k, at, score in self.scores(h, group):
+                mine = slice(k * self.width, (k + 1) * self.width)
+                pull = _pull(score, self.noise[k], place[at], c[at])
+                back[at] += pull @ p["Q"][mine]
+                grad["Q"][mine] += pull.T @ h[at]
+                grad["b"][mine, 0] += pull.sum(0)
+            for name, u in (("sum1", u1), ("sum2", u2)):
+                cells = (u[:, None] * DIM + np.arange(DIM)).ravel()
+                kept[name] += np.bincount(cells, back.ravel(), s * DIM).astype(np.float32).reshape(s, DIM)
+        grad["C1"], grad["C2"] = p["R"].T @ kept["sum1"], p["R"].T @ kept["sum2"]
+        grad["R"] = kept["sum1"] @ p["C1"].T + kept["sum2"] @ p["C2"].T
+        return grad
+
+
+def _normalised(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log probabilities of one choice a row; the scores are used up."""
+    top = scores.max(1, keepdims=True)
+    scores -= top
+    got = scores[np.arange(len(chosen)), chosen].astype(np.float64)
+    return got - np.log(np.exp(scores, out=scores).sum(1, dtype=np.float64))
+
+
+def _pull(scores: np.ndarray, noise: np.ndarray, chosen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The derivative by the scores: n (1 - P(data)) at the choice, -NOISE n noise P(data) everywhere, which is the noise draws' mean."""
+    with np.errstate(divide="ignore"):
+        scores = scores - np.maximum(np.log(NOISE * noise), -80)
+    truth = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+    pull = truth * (-NOISE * noise) * n[:, None]
+    rows = np.arange(len(chosen))
+    pull[rows, chosen] += n * (1 - truth[rows, chosen])
+    return pull
+
+
+class Trainer:
+    """A copy of the model that a task trains on the triples of its texts."""
+
+    def __init__(self, model: Model, rate: float = 0.03):
+        self.model, self.rate, self.steps = model, rate, 0
+        self.start = {k: x.copy() for k, x in model.p.items()}
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+        self.uses = {k: np.zeros(len(x)) for k, x in model.p.items()}
+
+    def learn(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
+        """Learns from all of these tokens, each distinct triple once with its count."""
+        m, s = self.model, self.model.symbols
+        keys, n = np.unique((two * s + one) * s + target, return_counts=True)
+        size = max(STEP, s)
+        order = np.random.default_rng(self.steps).permutation(len(keys))
+        for _ in range(-(-LEAST_STEPS // -(-len(keys) // size)) if self.steps < LEAST_STEPS else 1):
+            for i in range(0, len(keys), size):
+                part = order[i : i + size]
+                rest, t = np.divmod(keys[part], s)
+                by = np.argsort(t, kind="stable")
+                u2, u1 = np.divmod(rest[by], s)
+                self.step(m.gradient(u2, u1, t[by], n[part][by]), float(n[part].sum()))
+        rest, t = np.divmod(keys, s)
+        u2, u1 = np.divmod(rest, s)
+        uses = np.bincount(t, n, m.groups * m.width)
+        for name, x in (("Q", uses), ("b", uses), ("QG", uses.reshape(m.groups, -1).sum(1)), ("bG", uses.reshape(m.groups, -1).sum(1)), ("R", np.bincount(u1, n, s) + np.bincount(u2, n, s))):
+            self.uses[name] += x
+        for name in ("C1", "C2"):
+            self.uses[name] += n.sum()
+
+    def step(self, grad, weight: float) -> None:
+        self.steps += 1
+        rate = self.rate * min(1.0, (LEAST_STEPS / self.steps) ** 0.5)
+        for k, g in grad.items():
+            g = g / weight
+            self.first[k] += 0.1 * (g - self.first[k])
+            self.second[k] += 0.01 * (g * g - self.second[k])
+            self.model.p[k] += rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-6)
+
+    def changes(self) -> np.ndarray:
+        """All changes times their row's uses, then the uses."""
+        names = sorted(self.model.p)
+        moved = [((self.model.p[k] - self.start[k]) * self.uses[k][:, None]).ravel() for k in names]
+        return np.concatenate([*moved, *(self.uses[k] for k in names)]).astype(np.float32)
+
+
+def apply_changes(model: Model, total: np.ndarray) -> None:
+    """Adds the sum of copies' changes, each row divided by its uses."""
+    names, at = sorted(model.p), 0
+    use_at = sum(x.size for x in model.p.values())
+    for k in names:
+        x = model.p[k]
+        uses = total[use_at : use_at + len(x)]
+        model.p[k] = (x + total[at : at + x.size].reshape(x.shape) / np.maximum(uses, 1)[:, None]).astype(np.float32)
+        at, use_at = at + x.size, use_at + len(x)
+
+
+def _training(held):
+    def run(batches):
+        trainer, syms, size = Trainer(pickle.loads(held.value)), [], 0
 
+        def learn():
+            pairs = [contexts(s) for s in syms]
+            trainer.learn(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.concatenate(syms).astype(np.int64))
 
-def _triples(lexicon):
-    def run(batches):
-        lex, held = pickle.loads(lexicon.value), None
-        size = SYMBOLS**3
         for batch in batches:
-            for text in batch.column(0):
-                cells = cells_of(lex.look_up(text.as_py())[0])
-                if held is None:
-                    held = np.zeros(size, np.int64)
-                np.add.at(held, cells, 1)
-        if held is not None:
-            at = np.flatnonzero(held)
-            for i in range(0, len(at), FLUSH):
-                part = at[i : i + FLUSH]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part])], ["cell", "n"])
+            for x in batch.column(0):
+                sym = np.frombuffer(x.as_buffer(), "<i4")
+                for i in range(0, len(sym), TOGETHER):  # a giant text in parts
+                    syms.append(sym[i : i + TOGETHER])
+                    size += len(syms[-1])
+                    if size >= TOGETHER:
+                        learn()
+                        syms, size = [], 0
+        if syms:
+            learn()
+        if trainer.steps:
+            flat = trainer.changes()
+            for i in range(0, len(flat), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([flat[i : i + BLOCK].tobytes()], pa.binary())], ["block", "x"])
 
     return run
 
 
-def train(counts: np.ndarray, steps: int = 480, rate: float = 0.03, seed: int = 7) -> np.ndarray:
-    """Trains on the triples' counts [u2, u1, w]; returns log10 probabilities, normalised over w, as float32."""
-    v = SYMBOLS
-    noise = (counts.sum((0, 1)) + 0.5).astype(np.float64)
-    noise = (noise / noise.sum()).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    p = {"R": rng.normal(0, 0.1, (v, DIM)), "Q": rng.normal(0, 0.1, (v, DIM)), "C1": np.eye(DIM), "C2": np.eye(DIM) * 0.5, "b": np.log(noise)}
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    order, width, log_kq = rng.permutation(v), 8, np.log(NOISE * noise)
-    if counts.any():
-        for step in range(1, steps + 1):
-            two = order[np.arange((step - 1) * width, step * width) % v]
-            n = counts[two].astype(np.float32).reshape(-1, v)
-            weight = n.sum(1, keepdims=True)
-            if not weight.any():
-                continue
-            one, far = p["R"] @ p["C1"], p["R"][two] @ p["C2"]
-            pred = (far[:, None, :] + one[None, :, :]).reshape(-1, DIM)
-            score = pred @ p["Q"].T + p["b"] - log_kq
-            truth = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            pull = (n * (1 - truth) - NOISE * weight * noise * truth) / weight.sum()
-            d_pred = pull @ p["Q"]
-            cube = d_pred.reshape(width, v, DIM)
-            by_one, by_two = cube.sum(0), cube.sum(1)
-            grad = {"Q": pull.T @ pred, "b": pull.sum(0), "C1": p["R"].T @ by_one, "C2": p["R"][two].T @ by_two, "R": by_one @ p["C1"].T}
-            np.add.at(grad["R"], two, by_two @ p["C2"].T)
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in grad.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                p[k] += now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    one, far = p["R"] @ p["C1"], p["R"] @ p["C2"]
-    out = np.empty((v, v, v), np.float32)
-    for i in range(v):
-        score = ((far[i] + one) @ p["Q"].T + p["b"]).astype(np.float64)
-        top = score.max(1, keepdims=True)
-        out[i] = (score - top - np.log(np.exp(score - top).sum(1, keepdims=True))) / math.log(10)
-    return out
-
-
-def _scoring(lexicon, table):
+def _summing(batches):
+    """The sum of each block's rows; a task holds at most the model."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.float32)
+            sums[block] = sums[block] + x if block in sums else x.astype(np.float64)
+    for block, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "x"])
+
+
+def train(coded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """coded: (sym binary) of the training texts; counts: uses of each symbol."""
+    spark, model = coded.sparkSession, Model(counts)
+    for _ in range(rounds):
+        held = spark.sparkContext.broadcast(pickle.dumps(model))
+        # copies are summed within tasks of neighbours first
+        found = coded.mapInArrow(_training(held), "block int, x binary").repartition("block").mapInArrow(_summing, "block int, x binary")
+        blocks = {b: np.frombuffer(x, np.float64) for b, x in found.collect()}  # as many as the model has
+        if blocks:
+            apply_changes(model, np.concatenate([blocks[i] for i in range(len(blocks))]))
+        held.unpersist()
+    return model
+
+
+_CODED = ["uid", "word", "cnt", "doc_id", "train", "n_tokens", "n_known", "base", "within", "sym"]
+_CODED_TYPES = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+_CODED_SCHEMA = "uid long, word binary, cnt int, doc_id long, train boolean, n_tokens long, n_known long, base double, within double, sym binary"
+
+
+def _coding(lexicon):
+    """A row for each text with its symbols and what its head words give, and one for each distinct rare word of it."""
+
     def run(batches):
-        lex, log_p = pickle.loads(lexicon.value), np.frombuffer(table.value, np.float32)
-        names = ["uid", "word", "cnt", "cls", "doc_id", "n_tokens", "n_known", "base", "score"]
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        lex = pickle.loads(lexicon.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
-                cols: list[list] = [[] for _ in names]
-                for uid, doc, text in zip(*(c.to_pylist() for c in batch.slice(start, 100).columns), strict=True):
+                cols: list[list] = [[] for _ in _CODED]
+                for uid, doc, train_row, text in zip(*(c.to_pylist() for c in batch.slice(start, 100).columns), strict=True):
                     sym, at, rare = lex.look_up(text)
                     got = at[at >= 0]
                     base = float(lex.log_c[got].sum()) - len(sym) * lex.base_log
-                    within = got[~lex.is_symbol[got]]
-                    score = float(log_p[cells_of(sym)].sum(dtype=np.float64)) + float(lex.log_c[within].sum() - lex.class_log[lex.sym[within] - lex.own].sum())
+                    inside = got[~lex.is_symbol[got]]
+                    within = float(lex.log_c[inside].sum() - lex.class_log[lex.sym[inside] - lex.own].sum())
                     if rare:
-                        score -= float(lex.class_log[sym[at < 0] - lex.own].sum())
-                    for col, x in zip(cols, (uid, b" %d" % uid, None, None, doc, len(sym), int(lex.known[got].sum()), base, score), strict=True):
+                        within -= float(lex.class_log[sym[at < 0] - lex.own].sum())
+                    for col, x in zip(cols, (uid, None, None, doc, train_row, len(sym), int(lex.known[got].sum()), base, within, sym.astype("<i4").tobytes()), strict=True):
                         col.append(x)
                     if rare:
                         held = Counter(rare)
@@ -217,7 +401,32 @@ def _scoring(lexicon, table):
                         cols[2] += held.values()
                         for col in cols[3:]:
                             col += [None] * k
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CODED_TYPES, strict=True)], _CODED)
+
+    return run
+
+
+def _scoring(held):
+    names = ["uid", "doc_id", "n_tokens", "n_known", "base", "score"]
+
+    def run(batches):
+        model = pickle.loads(held.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                syms = [np.frombuffer(x.as_buffer(), "<i4") for x in part.column(6)]
+                sums = np.empty(len(syms))
+                i = 0
+                while i < len(syms):
+                    k, size = i, 0
+                    while k < len(syms) and (k == i or size + len(syms[k]) <= 4 * PRODUCT):
+                        size += len(syms[k])
+                        k += 1
+                    pairs = [contexts(s) for s in syms[i:k]]
+                    got = model.log10(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.concatenate(syms[i:k]).astype(np.int64))
+                    sums[i:k] = np.add.reduceat(got, np.cumsum([0, *map(len, syms[i : k - 1])]))  # no text is without a token
+                    i = k
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sums + part.column(5).to_numpy())], names)
 
     return run
 
@@ -228,24 +437,23 @@ def score_documents(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) ->
     common.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     out_of_train = F.coalesce(common.remainder("doc_id", held_out_of) == held_out, F.lit(False))
-    train_docs = docs.where(~out_of_train)
-    counts = common.materialise(count_words(train_docs), "lm-counts")
+    counts = common.materialise(count_words(docs.where(~out_of_train)), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = head_words(counts, HEAD)
-    least = min((n for _, _, n in head), default=1 << 62)
+    head, others = head_words(counts, HEAD)
     # the end sign is looked up in the head, whatever its rank
     if total and all(w != END for w, _, _ in head):
         head += [(END, -1, r[0]) for r in counts.where(F.col("word") == F.lit(END)).select("n").collect()]
     sums = {r[0]: r[1] for r in counts.where("cls >= 0").groupBy("cls").agg(F.sum(F.col("n") + 1)).collect()}
-    lexicon = spark.sparkContext.broadcast(pickle.dumps(Lexicon(head, sums, total, distinct)))
-    triples = train_docs.select(common.text_bytes().alias("text")).mapInArrow(_triples(lexicon), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    tensor = np.zeros(SYMBOLS**3, np.int64)
-    tensor[triples.column(0).to_numpy()] = triples.column(1).to_numpy()
-    table = spark.sparkContext.broadcast(train(tensor.reshape((SYMBOLS,) * 3)).tobytes())
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", common.text_bytes().alias("text")).mapInArrow(
-        _scoring(lexicon, table), "uid long, word binary, cnt int, cls int, doc_id long, n_tokens long, n_known long, base double, score double"
-    )
-    tail = counts.where(F.col("n") < least).select("word", F.log10(F.col("n") + 1).alias("log_c"))
-    found = rows.join(tail, "word", "left").withColumn("log_c", F.coalesce(F.col("log_c") * F.col("cnt"), F.lit(0.0))).withColumn("hit", F.when(F.col("log_c") > 0, F.col("cnt")).otherwise(0))
-    out = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum("hit")).alias("n_known"), (F.max("base") + F.sum("log_c")).alias("base_score"), (F.max("score") + F.sum("log_c")).alias("score"))
-    return out.select("doc_id", out_of_train.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    own = Lexicon(head, sums, total, distinct)
+    lexicon = spark.sparkContext.broadcast(pickle.dumps(own))
+    coded = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (~out_of_train).alias("train"), common.text_bytes().alias("text")).mapInArrow(_coding(lexicon), _CODED_SCHEMA)
+    coded = common.materialise(coded, "lm-coded")
+    texts = coded.where("sym is not null")
+    model = spark.sparkContext.broadcast(pickle.dumps(train(texts.where("train").select("sym"), own.counts)))
+    scored = texts.select("uid", "doc_id", "n_tokens", "n_known", "base", "within", "sym").mapInArrow(_scoring(model), "uid long, doc_id long, n_tokens long, n_known long, base double, score double")
+    rare = coded.where("word is not null").select("uid", "word", "cnt")
+    tail = counts.where(others).select("word", F.log10(F.col("n") + 1).alias("log_c"))
+    found = rare.join(tail, "word").select("uid", (F.col("log_c") * F.col("cnt")).alias("log_c"), "cnt")
+    sums = found.groupBy("uid").agg(F.sum("log_c").alias("log_c"), F.sum("cnt").alias("hit"))
+    whole = scored.join(sums, "uid", "left").select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("hit", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("log_c", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("log_c", F.lit(0.0))).alias("score"))
+    return whole.select("doc_id", out_of_train.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from notewright.llm import common, langid, lm_scoring, matroska, near_copies, packing, pii, piece_codec, queries, simhash, topk, toxicity, warc
 
@@ -56,14 +57,53 @@ def test_lm_tail_joins_give_the_same(docs, monkeypatch):
 
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(1)
-    counts = np.zeros((lm_scoring.SYMBOLS,) * 3, np.int64)
-    for _ in range(3000):
-        a = rng.integers(0, 20)
-        counts[rng.integers(0, 20), a, (a + 1) % 20] += 1
-    table = lm_scoring.train(counts)
-    assert np.allclose((10.0 ** table.astype(float)).sum(-1), 1, atol=1e-4)
-    uni = counts.sum((0, 1)) / counts.sum()
-    assert (counts * table).sum() > (counts.sum((0, 1)) * np.log10(uni, where=uni > 0, out=np.zeros_like(uni))).sum()
+    counts = rng.integers(1, 500, 90).astype(float)
+    model = lm_scoring.Model(counts)
+    one = np.array([rng.integers(0, 89) for _ in range(4000)])
+    two, target = rng.integers(0, 90, 4000), (one + 1) % 90
+    trainer = lm_scoring.Trainer(model)
+    trainer.learn(two, one, target)
+    p = model.p
+    every = np.arange(90)
+    for a, b in ((0, 0), (3, 77), (89, 12)):
+        got = model.log10(np.full(90, a), np.full(90, b), every)
+        assert abs((10.0**got).sum() - 1) < 1e-4
+        # the same by the formulas, one symbol at a time
+        h = p["R"][a] @ p["C2"] + p["R"][b] @ p["C1"]
+        group = np.exp(p["QG"] @ h + p["bG"][:, 0])
+        inside = np.exp(p["Q"] @ h + p["b"][:, 0]).reshape(model.groups, model.width)
+        want = [math.log10(group[w // model.width] / group.sum() * inside[w // model.width, w % model.width] / inside[w // model.width].sum()) for w in every]
+        assert np.allclose(got, want, atol=1e-4)
+    uniform = math.log10(1 / 90)
+    assert model.log10(two, one, target).mean() > uniform + 0.3
+
+
+def test_lm_learns_from_the_whole_corpus(spark):
+    rng = random.Random(4)
+    chain = {w: rng.sample(WORDS, 2) for w in WORDS}
+    made = []
+    for i in range(300):
+        w, text = rng.choice(WORDS), []
+        for _ in range(80):
+            text.append(w)
+            w = rng.choice(chain[w])
+        made.append((i, " ".join(text)))
+    got = lm_scoring.score_documents(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+
+
+def test_lm_head_holds_the_commonest_words(spark):
+    rng = random.Random(6)
+    rows = [(b"w%d" % i, 0, (1 << 20) + rng.choice((0, 1, 5, 1 << 30, 1 << 45))) for i in range(60)] + [(b"t%d" % i, 0, 7) for i in range(80)] + [(b"r%d" % i, 0, 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "word binary, cls int, n long")
+    tie = {bytes(r[0]): r[1] for r in df.select("word", F.shiftrightunsigned(F.xxhash64("word"), 1)).collect()}
+    order = sorted(rows, key=lambda r: (-r[2], -tie[r[0]]))
+    for most in (0, 1, 5, 60, 61, 100, 139, 140, 150, 190, 500):
+        head, others = lm_scoring.head_words(df, most)
+        assert {h[0] for h in head} == {r[0] for r in order[:most]}
+        assert {bytes(r.word) for r in df.where(others).collect()} == {r[0] for r in order[most:]}
+    assert [lm_scoring.symbol_words(10**k) for k in (0, 5, 8, 10, 13)] == sorted({lm_scoring.symbol_words(10**k) for k in (0, 5, 8, 10, 13)})
 
 
 def test_piece_codec(spark, docs, rows):
