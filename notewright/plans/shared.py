@@ -25,9 +25,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; one of our own is set only where it is unset (local runs and tests)."""
+    """``spark.checkpoint.dir``; one of our own is set only where it is unset and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="notewright-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -54,6 +57,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def written() -> int:
+    """A mark for ``drop_since``."""
+    return len(_written)
+
+
+def drop_since(mark: int, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since the mark, but for the one that ``keep`` reads."""
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    for item in _written[mark:]:
+        tail = "/" + item[1].rsplit("/", 1)[-1] + "/"
+        if not any(tail in f for f in kept):
+            drop_path(*item)
+            _written.remove(item)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
