@@ -1,43 +1,47 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-A vector's score is an integer inner product, the sum of the partial products of PARTS runs of its
-components; each run of each shard of rows is a local list.  Phase 1 gathers, for each query, the k
-best of every local list with their whole scores; the k-th best of these is a score that k candidates
-reach, a safe cutoff tau.  Phase 2 sends each query's tau to every shard, and collects the entries whose
-partial product reaches tau / PARTS in some list: a score of tau or more has such a part.  Phase 3
-resolves the other parts of these exactly, and keeps from each shard the k best that reach tau.
-
-Queries meet rows in blocks: every block of queries is sent to every shard, so a task holds one shard
-and one block of queries, whatever the table's size.  Each shard returns at most k rows a query, so
+A vector's score is an integer inner product, the sum of the partial products of PARTS runs of its components; a shard of rows
+has PARTS lists, one a run.  Phase 1 gathers from each shard the k best of one of its lists (the lists take turns) with their whole
+scores; the k-th best of what is gathered is a score that k candidates reach, a safe cutoff tau, which is broadcast.  Phase 2
+collects from all lists of all shards the entries whose partial product reaches tau / PARTS: a score of tau or more has such a part.
+Phase 3 resolves the other parts of these exactly, and keeps the k best that reach tau.
+
+Shards stay in place, in the narrowest integers that hold them; queries go to them in waves of at most WAVE bytes, which bounds
+what is broadcast whatever the table's size.  A task keeps at most k rows a query of a wave, so that
 equal vectors or ties, however many, don't add rows.
 
 Vectors that are null, or hold a null or a non-finite component, take no part; vectors are compared only
 with those of equal length.  An empty table gives an empty result.  A row is told from others by its place, so
-repeated vec_ids are rows of their own; a query leaves out rows of its own vec_id.  Null ids take no part.
+repeated vec_ids are rows of their own, as queries too; a query leaves out rows of its own vec_id.  Null ids take no part.
+Other columns than the id and the vector aren't read, whatever their names.  A score beyond a long is an error.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-PARTS, SHARD, BLOCK = 4, 8192, 2048
+PARTS, SHARD, BLOCK, WAVE, AT_ONCE = 4, 8192, 2048, 32 << 20, 128
+LOWEST = -(1 << 63)
+_PACKED = "dim int, kind string, ids binary, mat binary"
 
 
 def _shards(size: int):
-    """Batches of (vec_id, vector) to rows (part, dim, ids, values), each of at most ``size`` vectors."""
+    """Batches of (vec_id, vector) to rows of at most ``size`` vectors of one length, as integers."""
 
     def out(dim, ids, vectors):
-        x = np.floor(np.asarray(vectors, np.float64) * 64)
-        if np.abs(x).max(initial=0) >= 2.0**62:
+        x = np.floor(np.asarray(vectors, np.float64).reshape(len(ids), dim) * 64)
+        most = np.abs(x).max(initial=0)
+        if most >= 2.0**62:
             raise OverflowError("a component's 64-fold is beyond a long")
-        key = (int(ids[0]) * 1_000_003 + len(ids) * 31 + dim) % (1 << 63)  # shards of one key are taken together
-        return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([dim], pa.int32()), pa.array([np.asarray(ids, np.int64).tobytes()], pa.binary()), pa.array([x.astype(np.int64).tobytes()], pa.binary())], ["shard", "dim", "ids", "mat"])
+        kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if most < 2.0 ** (8 * int(k[2]) - 1))
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([kind]), pa.array([np.asarray(ids, "<i8").tobytes()], pa.binary()), pa.array([x.astype(kind).tobytes()], pa.binary())], ["dim", "kind", "ids", "mat"])
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
@@ -54,17 +58,16 @@ def _shards(size: int):
     return run
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """q @ x.T exactly: in doubles while the sums stay under 2 ** 53, else in Python's integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if most < 2.0**53:
-        return q.astype(np.float64) @ x.T.astype(np.float64)
-    return q.astype(object) @ x.T.astype(object)
+def _unpack(dim: int, kind: str, ids: bytes, mat: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(mat, kind).reshape(len(ids), dim)
 
 
-def _unpack(row):
-    ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.mat, np.int64).reshape(len(ids), row.dim)
+def exact(q: np.ndarray, x: np.ndarray):
+    """Both in a type whose products and sums are exact: doubles below 2 ** 53, else Python's integers."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    kind = np.float64 if most < 2.0**53 else object
+    return q.astype(kind), x.astype(kind)
 
 
 def _parts(dim: int) -> list[slice]:
@@ -72,91 +75,140 @@ def _parts(dim: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, by score, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
-
-
-def _emit(q_ids, found):
-    q, v, s = [], [], []
-    for i, (ids, scores) in zip(q_ids, found, strict=True):
-        q.append(np.full(len(ids), i))
-        v.append(ids)
-        s.append(scores)
-    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return pd.DataFrame({"query_id": cat(q), "vec_id": cat(v), "score": cat(s)})
-
-
-def _phase(k: int, with_tau: bool):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [_emit([], [])]
-        for shard in left.itertuples():
-            ids, x = _unpack(shard)
-            for block in right.itertuples():
-                q_ids, q = _unpack(block)
-                taus = np.frombuffer(block.tau, np.float64) if with_tau else None
-                for a in range(0, len(q), 128):
-                    lists = [products(q[a : a + 128, p], x[:, p]) for p in _parts(shard.dim)]
-                    found = []
-                    for r in range(len(lists[0])):
-                        parts = [p[r] for p in lists]
-                        if with_tau:  # enough entries, then their other parts
-                            near = np.zeros(len(ids), bool)
-                            for p in parts:
-                                near |= p >= taus[a + r] / PARTS
-                            near = np.flatnonzero(near & (ids != q_ids[a + r]))
-                            whole = sum(p[near] for p in parts)
-                            keep = whole >= taus[a + r]
-                            near, whole = near[keep], whole[keep]
-                        else:
-                            other = np.flatnonzero(ids != q_ids[a + r])
-                            near = np.unique(np.concatenate([other[_best(p[other], ids[other], k)] for p in parts])) if len(other) else other
-                            whole = sum(p[near] for p in parts)
-                        top = _best(whole, ids[near], k)
-                        found.append((ids[near][top], whole[top]))
-                    out.append(_emit(q_ids[a : a + 128], found))
-        return pd.concat(out)
+def _shard_rows(batches):
+    for batch in batches:
+        for dim, kind, ids, mat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield dim, *_unpack(dim, kind, ids, mat)
+
+
+def _gathering(queries, k: int):
+    """Phase 1: (uid, scores): for each query the k best whole scores of what the lists' best entries have."""
+
+    def run(batches):
+        blocks = pickle.loads(queries.value)
+        best = [np.full((len(q_ids), k), LOWEST, object if q.dtype.itemsize == 8 else np.int64) for _, q_ids, _, q in blocks]
+        for turn, (dim, ids, rows) in enumerate(_shard_rows(batches)):
+            part = _parts(dim)[turn % PARTS]
+            for b, (_, q_ids, _, q) in enumerate(blocks):
+                if q.shape[1] != dim:
+                    continue
+                every, x = exact(q, rows)
+                for a in range(0, len(q), AT_ONCE):
+                    own = every[a : a + AT_ONCE]
+                    listed = (own[:, part] @ x[:, part].T).astype(np.float64)  # any k entries are safe, so rounding is too
+                    listed[q_ids[a : a + AT_ONCE, None] == ids[None, :]] = -np.inf
+                    n = min(k, len(ids))
+                    near = np.argpartition(listed, len(ids) - n, axis=1)[:, len(ids) - n :]
+                    whole = np.stack([x[near[r]] @ own[r] for r in range(len(own))])
+                    whole = np.where(np.take_along_axis(listed, near, 1) == -np.inf, LOWEST, whole.astype(best[b].dtype))
+                    both = np.concatenate([best[b][a : a + AT_ONCE], whole], 1)
+                    best[b][a : a + AT_ONCE] = np.sort(both, 1)[:, -k:]
+        for (uids, _, _, _), scores in zip(blocks, best, strict=True):
+            for i in range(0, len(uids), 1000):
+                lists = [[int(s) for s in row if s != LOWEST] for row in scores[i : i + 1000].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(uids[i : i + 1000]), pa.array(lists, pa.list_(pa.int64()))], ["uid", "scores"])
+
+    return run
+
+
+def _kept(uid: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    """The k best of each uid, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, uid))  # no score is the lowest long
+    uid = uid[order]
+    starts = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]]) if len(uid) else np.zeros(0, int)
+    place = np.arange(len(uid)) - np.repeat(starts, np.diff(np.r_[starts, len(uid)]))
+    order = order[place < k]
+    return order
+
+
+def _resolving(queries, k: int):
+    """Phases 2 and 3: rows (uid, query_id, vec_id, score), at most k a query."""
+
+    def run(batches):
+        blocks = pickle.loads(queries.value)
+        found: list[np.ndarray] = []
+        held, most = 0, 2_000_000
+
+        def squeeze():
+            whole = np.concatenate(found, 1)
+            return whole[:, _kept(whole[0], whole[2], whole[3], k)]
+
+        for dim, ids, rows in _shard_rows(batches):
+            for uids, q_ids, taus, q in blocks:
+                if q.shape[1] != dim:
+                    continue
+                every, x = exact(q, rows)
+                for a in range(0, len(q), AT_ONCE):
+                    own = every[a : a + AT_ONCE]
+                    tau = taus[a : a + AT_ONCE]
+                    share = np.where(tau == LOWEST, LOWEST, tau // PARTS + (tau % PARTS != 0))  # rounded up
+                    lists = [own[:, p] @ x[:, p].T for p in _parts(dim)]
+                    near = np.zeros(lists[0].shape, bool)
+                    for p in lists:
+                        near |= p >= share[:, None]
+                    r, c = np.nonzero(near)
+                    score = sum(p[r, c] for p in lists).astype(np.int64)
+                    keep = (score >= tau[r]) & (ids[c] != q_ids[a + r])
+                    r, c = r[keep], c[keep]
+                    if len(r):
+                        found.append(np.stack([uids[a + r], q_ids[a + r], ids[c], score[keep]]))
+                        held += len(r)
+                        if held > most:
+                            found = [squeeze()]
+                            held = found[0].shape[1]
+                            most = max(most, 2 * held)
+        if found:
+            whole = squeeze()
+            for i in range(0, whole.shape[1], 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(whole[j, i : i + 10_000]) for j in range(4)], ["uid", "query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", wave: int = WAVE) -> DataFrame:
     """Each query's k highest scores: (query_id, rank, vec_id, score).  Queries: rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     common.prepare(spark)
     x = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("i").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)))
-    packed = "shard long, dim int, ids binary, mat binary"
-    shards = common.materialise(rows.mapInArrow(_shards(SHARD), packed), "topk-rows")
-    blocks = common.materialise(rows.where(F.col("i") % every == 0).mapInArrow(_shards(BLOCK), packed).withColumnRenamed("shard", "block"), "topk-queries")
-    # one row a (shard, block of queries), without their contents
-    pairs = shards.select("shard", "dim", F.spark_partition_id().alias("p")).join(blocks.select("block", "dim", F.spark_partition_id().alias("bp")).distinct(), "dim")
-    pairs = common.materialise(pairs.select("shard", "dim", "block", F.xxhash64("shard", "block", "dim").alias("pair")).distinct(), "topk-pairs")
-    left = pairs.join(shards, ["shard", "dim"]).select("pair", "dim", F.col("ids").alias("row_ids"), F.col("mat").alias("row_mat")).toDF("pair", "dim", "ids", "mat")
-
-    def phase(queries: DataFrame, with_tau: bool) -> DataFrame:
-        mine = spark.createDataFrame([], pairs.schema).unionAll(pairs).toDF("shard_", "dim", "block", "pair")
-        right = mine.join(queries, ["block", "dim"]).drop("shard_")
-        return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(_phase(k, with_tau), "query_id long, vec_id long, score long")
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    gathered = phase(blocks, False)
-    taus = gathered.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("tau"))
-    taus = common.materialise(taus, "topk-cutoffs")
-
-    def attach(block: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(cut["query_id"], cut["tau"], strict=True))
-        got = [[float(t) if (t := known.get(i)) is not None and t == t else -np.inf for i in np.frombuffer(ids, np.int64).tolist()] for ids in block["ids"]]
-        return block[["block", "dim", "ids", "mat"]].assign(tau=[np.array(t).tobytes() for t in got])
-
-    owner = blocks.select("block", "dim", "ids").mapInPandas(lambda it: (pd.DataFrame({"query_id": np.frombuffer(r.ids, np.int64), "block": r.block, "dim": r.dim}) for pdf in it for r in pdf.itertuples()), "query_id long, block long, dim int")
-    cuts = owner.join(taus, "query_id").select("block", "dim", "query_id", "tau")
-    queries = blocks.groupBy("block", "dim").cogroup(cuts.groupBy("block", "dim")).applyInPandas(attach, "block long, dim int, ids binary, mat binary, tau binary")
-    best = phase(queries, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    shards = common.materialise(rows.mapInArrow(_shards(SHARD), _PACKED), "topk-rows")
+    blocks = rows.where(F.col("i") % every == 0).mapInArrow(_shards(BLOCK), _PACKED).withColumn("block", F.monotonically_increasing_id())
+    blocks = common.materialise(blocks, "topk-queries")
+    waves: list[list[int]] = []
+    size = wave
+    for block, n in blocks.select("block", F.length("ids") * 3 + F.length("mat")).collect():  # a row for each BLOCK queries
+        if size + n > wave:
+            waves.append([])
+            size = 0
+        waves[-1].append(block)
+        size += n
+    found = [_wave(spark, shards, blocks.where(F.col("block").isin(w)), k) for w in waves]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _wave(spark, shards: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    own = []
+    for number, r in enumerate(blocks.collect()):  # at most WAVE bytes
+        ids, q = _unpack(r.dim, r.kind, bytes(r.ids), bytes(r.mat))
+        uids = (np.int64(number) << np.int64(32)) + np.arange(len(ids), dtype=np.int64)
+        own.append([uids, ids, np.full(len(ids), LOWEST), q])
+    sent = spark.sparkContext.broadcast(pickle.dumps(own))
+    gathered = shards.mapInArrow(_gathering(sent, k), "uid long, scores array<long>")
+    kth = F.try_element_at(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), F.lit(k))
+    taus = dict(gathered.groupBy("uid").agg(kth.alias("tau")).where("tau is not null").collect())  # a number for each query of the wave
+    for block in own:
+        block[2] = np.array([taus.get(u, LOWEST) for u in block[0].tolist()], np.int64)
+    cut = spark.sparkContext.broadcast(pickle.dumps(own))
+    rows = shards.mapInArrow(_resolving(cut, k), "uid long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = common.materialise(best, "topk-best")
+    sent.unpersist()
+    cut.unpersist()
+    return best
