@@ -8,13 +8,14 @@ one node from the start.  Then, in three steps that never emit all pairs of a gr
    of them loses no link; a variant has at most 65 of them.  Their components are taken.
 2. A pair at exactly three bits meets when one of three bit fields is left out of the key: either
    each side flips one bit of the rest, or the rest is equal.  Every fingerprint emits these keys; only those
-   with fingerprints of two or more components count.  This is a filter, done with minima and maxima.
+   with fingerprints of two or more components count.  This is a filter, done with minima and maxima; where at most FEW share a
+   key, which by chance they do more often the larger the table, their distances decide too.
 3. What passes it emits the variants within two bits.  A fingerprint within one bit of a variant is at most
    three bits from each one within two bits of it, so a star on the smallest of the former loses no link
    and adds none; a variant has at most 2 081 of them.
 
 The exact check follows: the distance of each star's ends is within three bits by construction, and is asserted
-in the join that makes them.  Rows: one for each input row; null text counts as empty; texts without a
+in the join that makes them.  Other columns than doc_id and text aren't read, whatever their names.  Rows: one for each input row; null text counts as empty; texts without a
 word have fingerprint zero and link like others; rows with a null doc_id get a fingerprint but take no part in links.
 """
 
@@ -29,6 +30,8 @@ from pyspark.sql.types import LongType
 from . import common
 
 SHINGLE, SEED, RADIUS, CHUNK = 3, 42, 3, 65_536
+#: Fingerprints of a key that are compared with each other, and fingerprints a task whose wide balls are made.
+FEW, SPREAD = 16, 4000
 #: Bit fields that a key may leave out: (first bit, bits).
 FIELDS = ((0, 22), (22, 21), (43, 21))
 
@@ -104,9 +107,16 @@ def links(nodes: DataFrame) -> DataFrame:
         key = F.lit(_signed(i << first)) if i else F.lit(0)
         one = part.select("fp", "part", _exploded(masked.bitwiseOR(key.cast(LongType())), [0, *_flips(rest)]).alias("key"), F.lit(i).alias("field"))
         keys = one if keys is None else keys.unionAll(one)
-    mixed = keys.groupBy("field", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("field", "key")
+    mixed = keys.groupBy("field", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("field", "key", "n")
     mixed = common.materialise(mixed, "simhash-mixed")
-    again = common.materialise(keys.join(mixed, ["field", "key"], "left_semi").select("fp").distinct(), "simhash-again")
+    hits = keys.join(mixed, ["field", "key"])
+    # a key that few share, as by chance in a large table, is decided on its pairs; of the others all go on
+    few = hits.where(F.col("n") <= FEW).groupBy("field", "key").agg(F.collect_list(F.struct("fp", "part")).alias("xs"))
+    near_one = f"filter(xs, x -> exists(xs, y -> x.part <> y.part AND bit_count(x.fp ^ y.fp) <= {RADIUS}))"
+    verified = few.select(F.explode(F.expr(near_one)).alias("x")).select("x.fp")
+    again = common.materialise(verified.unionAll(hits.where(F.col("n") > FEW).select("fp")).distinct(), "simhash-again")
+    # a small file would be one task; each fingerprint becomes 2 146 rows
+    again = again.repartition(max(1, -(-again.count() // SPREAD)), "fp")
     # 3: balls of two bits for what is left
     two = [_signed((1 << i) | (1 << j)) for i in range(64) for j in range(i)]
     wide = again.select("fp", _exploded(fp, ball).alias("v"), F.lit(1).alias("one")).unionAll(again.select("fp", _exploded(fp, two).alias("v"), F.lit(0).alias("one")))
@@ -124,5 +134,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = joined.groupBy("part").agg(F.min("least").alias("component_id"))
     # only fingerprints that don't stand for themselves alone need a join
     ids = joined.join(least, "part").select("fp", "component_id")
-    out = own.join(ids, "fp", "left")
+    out = common.join_hot(own, ids, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
