@@ -5,7 +5,7 @@ block (fixed-size lacing where the frames are equal, else EBML lacing; Xiph and
 CLUSTER blocks to a cluster, and a cue for each cluster.  ``parse`` walks variable-length EBML elements,
 of unknown size too, and gives a row for each packet: track, time in nanoseconds, byte range, keyframe, lacing.
 
-A null text is empty.  What isn't Matroska, or breaks off, gives the packets before the break and ``damaged``; a null
+Any nesting is walked; a number that doesn't fit its column is damage.  Columns besides those named aren't read.  A null text is empty.  What isn't Matroska, or breaks off, gives the packets before the break and ``damaged``; a null
 column gives no packets.  Rows of the packet table: one for each packet of each input row; of features: one for each input row.
 """
 
@@ -161,91 +161,122 @@ def _frames(data, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
     return out
 
 
-def parse(data: bytes) -> Media:
-    """All packets, tracks and cues of a file."""
-    packets: list[Packet] = []
-    tracks: dict[int, dict] = {}
-    cues: list[tuple[int, int, int]] = []
-    state = {"scale": 1_000_000, "duration": 0.0, "clusters": 0, "time": 0, "segment": 0}
+class _Master:
+    """An open master element: its id, its end, whether its size is known, whether it goes beyond its parent, what was read in it."""
+
+    def __init__(self, ident, end: int, known: bool = True, broken: bool = False):
+        self.ident, self.end, self.known, self.broken, self.held = ident, end, known, broken, {}
+
+
+def _fits(n: int, bits: int = 63) -> int:
+    if not -(1 << bits) <= n < 1 << bits:
+        raise ValueError("a number is out of range")
+    return n
+
+
+class _Parser:
+    """Walks elements with a stack of its own, so that no nesting is too deep; numbers out of range are damage."""
 
-    def number(a, b):
-        return int.from_bytes(data[a:b], "big")
+    def __init__(self, data: bytes):
+        self.data, self.packets, self.tracks, self.cues = data, [], {}, []
+        self.scale, self.duration, self.clusters, self.time = 1_000_000, 0.0, 0, 0
 
-    def real(a, b):
-        return {4: lambda: struct.unpack(">f", data[a:b])[0], 8: lambda: struct.unpack(">d", data[a:b])[0]}.get(b - a, lambda: 0.0)()
+    def number(self, a: int, b: int) -> int:
+        if b - a > 8:
+            raise ValueError("an integer of more than 8 bytes")
+        return _fits(int.from_bytes(self.data[a:b], "big"))
 
-    def block(a, b, simple, group):
-        track, at, _ = read_vint(data, a)
-        offset, flags = struct.unpack(">hB", data[at : at + 3])
+    def real(self, a: int, b: int) -> float:
+        return struct.unpack({4: ">f", 8: ">d"}[b - a], self.data[a:b])[0] if b - a in (4, 8) else 0.0
+
+    def block(self, a: int, b: int, simple: bool, group: dict) -> None:
+        track, at, _ = read_vint(self.data, a)
+        if track is None or at + 3 > b:
+            raise ValueError("bad block header")
+        offset, flags = struct.unpack(">hB", self.data[at : at + 3])
         lacing = flags >> 1 & 3
-        ranges = _frames(data, at + 3, b, lacing)
-        start = (state["time"] + offset) * state["scale"]
-        step = tracks.get(track, {}).get("frame_ns", 0)
+        ranges = _frames(self.data, at + 3, b, lacing)
+        start = _fits((self.time + offset) * self.scale)
+        step = self.tracks.get(track, {}).get("frame_ns", 0)
         if group.get(BLOCK_DURATION) and not step:
-            step = group[BLOCK_DURATION] * state["scale"] // len(ranges)
+            step = group[BLOCK_DURATION] * self.scale // len(ranges)
+        _fits(start + len(ranges) * step)
+        _fits(track, 31)
         key = bool(flags & 0x80) if simple else REFERENCE not in group
-        packets.extend(Packet(track, start + i * step, x, n, key, LACING[lacing], state["clusters"] - 1) for i, (x, n) in enumerate(ranges))
-
-    def walk(at, end, parent, held):
-        while at < end:
-            begin = at
-            ident, at = read_id(data, at)
-            if parent == CLUSTERS and ident in TOP or parent not in (None, SEGMENT) and ident in (SEGMENT, EBML):
-                return begin  # an element of unknown size ends here
-            size, at, _ = read_vint(data, at)
-            stop = end if size is None else at + size
-            if stop > end:
-                if ident in MASTERS:
-                    walk(at, end, ident, {})
-                raise ValueError("an element exceeds its parent")
+        self.packets.extend(Packet(track, start + i * step, x, n, key, LACING[lacing], self.clusters - 1) for i, (x, n) in enumerate(ranges))
+
+    def close(self, master: _Master, held: dict) -> None:
+        """What a finished master element says, to its parent or to the file."""
+        own = master.held
+        if master.broken:
+            raise ValueError("an element exceeds its parent")
+        if master.ident == TRACK_ENTRY:
+            self.tracks[own.get(TRACK_NUMBER, 0)] = {"codec": own.get(CODEC_ID, ""), "type": own.get(TRACK_TYPE, 0), "frame_ns": own.get(DEFAULT_DURATION, 0), "rate": own.get(SAMPLING_FREQUENCY, 0.0)}
+        elif master.ident == AUDIO:
+            held.update(own)
+        elif master.ident == CUE_POSITIONS:
+            held[CUE_POSITIONS] = (own.get(CUE_TRACK, 0), own.get(CUE_CLUSTER, 0))
+        elif master.ident == CUE_POINT and CUE_POSITIONS in own:
+            self.cues.append((_fits(own.get(CUE_TIME, 0) * self.scale), *own[CUE_POSITIONS]))
+        elif master.ident == BLOCK_GROUP and GROUP_BLOCK in own:
+            self.block(*own[GROUP_BLOCK], False, own)
+
+    def leaf(self, ident: int, at: int, stop: int, held: dict) -> None:
+        if ident == SIMPLE_BLOCK:
+            self.block(at, stop, True, held)
+        elif ident == GROUP_BLOCK:
+            held[ident] = (at, stop)
+        elif ident == TIMESTAMP:
+            self.time = self.number(at, stop)
+        elif ident == TIMESTAMP_SCALE:
+            self.scale = self.number(at, stop)
+        elif ident == DURATION:
+            self.duration = self.real(at, stop)
+        elif ident == SAMPLING_FREQUENCY:
+            held[ident] = self.real(at, stop)
+        elif ident == CODEC_ID:
+            held[ident] = self.data[at:stop].decode("ascii", "replace")
+        elif ident in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION, CUE_TIME, CUE_TRACK, CUE_CLUSTER, BLOCK_DURATION):
+            held[ident] = self.number(at, stop)
+        elif ident == REFERENCE:
+            held[ident] = True
+
+    def walk(self) -> None:
+        at, stack = 0, [_Master(None, len(self.data))]
+        while stack:
+            top = stack[-1]
+            begin, ends = at, at >= top.end
+            if not ends:
+                ident, at = read_id(self.data, at)
+                # an element of unknown size ends before one that it can't hold
+                ends = top.ident == CLUSTERS and ident in TOP or top.ident not in (None, SEGMENT) and ident in (SEGMENT, EBML)
+            if ends:
+                stack.pop()
+                self.close(top, stack[-1].held if stack else {})
+                at = top.end if top.known else begin
+                continue
+            size, at, _ = read_vint(self.data, at)
+            stop = top.end if size is None else at + size
             if ident in MASTERS:
-                if ident == SEGMENT:
-                    state["segment"] = at
-                if ident == CLUSTERS:
-                    state["clusters"] += 1
-                own: dict = {}
-                came = walk(at, stop, ident, own)
-                if ident == TRACK_ENTRY:
-                    tracks[own.get(TRACK_NUMBER, 0)] = {"codec": own.get(CODEC_ID, ""), "type": own.get(TRACK_TYPE, 0), "frame_ns": own.get(DEFAULT_DURATION, 0), "rate": own.get(SAMPLING_FREQUENCY, 0.0)}
-                elif ident == AUDIO:
-                    held.update(own)
-                elif ident == CUE_POSITIONS:
-                    held[CUE_POSITIONS] = (own.get(CUE_TRACK, 0), own.get(CUE_CLUSTER, 0))
-                elif ident == CUE_POINT and CUE_POSITIONS in own:
-                    cues.append((own.get(CUE_TIME, 0) * state["scale"], *own[CUE_POSITIONS]))
-                elif ident == BLOCK_GROUP and GROUP_BLOCK in own:
-                    block(*own[GROUP_BLOCK], False, own)
-                at = came if size is None else stop
+                self.clusters += ident == CLUSTERS
+                stack.append(_Master(ident, min(stop, top.end), size is not None, stop > top.end))
                 continue
-            if ident == SIMPLE_BLOCK:
-                block(at, stop, True, held)
-            elif ident == GROUP_BLOCK:
-                held[ident] = (at, stop)
-            elif ident == TIMESTAMP:
-                state["time"] = number(at, stop)
-            elif ident == TIMESTAMP_SCALE:
-                state["scale"] = number(at, stop)
-            elif ident == DURATION:
-                state["duration"] = real(at, stop)
-            elif ident == SAMPLING_FREQUENCY:
-                held[ident] = real(at, stop)
-            elif ident == CODEC_ID:
-                held[ident] = data[at:stop].decode("ascii", "replace")
-            elif ident in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION, CUE_TIME, CUE_TRACK, CUE_CLUSTER, BLOCK_DURATION):
-                held[ident] = number(at, stop)
-            elif ident == REFERENCE:
-                held[ident] = True
+            if stop > top.end:
+                raise ValueError("an element exceeds its parent")
+            self.leaf(ident, at, stop, top.held)
             at = stop
-        return at
 
-    damaged = False
+
+def parse(data: bytes) -> Media:
+    """All packets, tracks and cues of a file; of a damaged one those before the damage."""
+    parser, damaged = _Parser(data), False
     try:
         if read_id(data, 0)[0] != EBML:
             raise ValueError("no EBML header")
-        walk(0, len(data), None, {})
+        parser.walk()
     except (ValueError, IndexError, struct.error):
         damaged = True
-    return Media(packets, tracks, cues, state["clusters"], state["duration"] * state["scale"], damaged)
+    return Media(parser.packets, parser.tracks, parser.cues, parser.clusters, parser.duration * parser.scale, damaged)
 
 
 def read_payload(data: bytes, media: Media | None = None) -> bytes:
