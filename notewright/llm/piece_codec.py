@@ -7,12 +7,14 @@ highest total score is the unigram decoding of SentencePiece, which this operato
 No piece holds the space sign but at its start, so a text falls into runs that no piece crosses; equal runs are decoded once.
 A giant text is split into chunks of CHUNK characters.  A chunk's transfer matrix holds, for each entry
 state (characters of a piece already begun in the chunk before) and each exit state, the highest score: max-plus
-matrices, combined associatively over the chunks.  With each chunk's entry and exit states then known, all are
-traced back independently.  Chunks are rows: a giant text is spread over tasks, and only its small matrices meet in one.
+matrices, combined associatively in a tree of spans of FAN chunks, which gives each chunk's entry scores.  With them, each chunk says by
+which entry state the best path reaches each of its exits; the path followed back gives all states, and all chunks are
+traced back independently.  Chunks are rows: a giant text is spread over tasks, and only a few bytes a chunk meet in one.
+Scores are multiples of 2 ** -20, so that sums are exact in any order and the two ways give the same ids, ties included.
 
 Null text is empty; empty text has no ids.  Unknown characters fall back to byte pieces where the model has them, else to
 the unknown piece.  Ties go to the segmentation whose last piece is longest, and so on back.  Rows: one for each
-input row, repeated rows and null ids included.
+input row, repeated rows and null ids included.  Other columns than doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SPACE, CHUNK, GIANT, CACHE, LONG_RUN = "▁", 16_384, 65_536, 300_000, 256
+SPACE, CHUNK, GIANT, CACHE, LONG_RUN, FAN = "▁", 16_384, 65_536, 300_000, 256, 64
 UNKNOWN_PENALTY = 10.0
 _workers: dict = {}
 
@@ -42,7 +44,8 @@ class Pieces:
             model.ParseFromString(f.read())
         self.texts = [p.piece for p in model.pieces]
         kinds = [p.type for p in model.pieces]
-        self.scores = {p.piece: (p.score, i) for i, p in enumerate(model.pieces) if p.type in (1, 4)}
+        # to multiples of 2 ** -20, sums of which are exact in whatever order, so that ties are the same for all ways
+        self.scores = {p.piece: (round(p.score * 2**20) / 2**20, i) for i, p in enumerate(model.pieces) if p.type in (1, 4)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = kinds.index(2)
@@ -220,28 +223,58 @@ class Pieces:
         """The max-plus product, which is associative."""
         return (a[:, :, None] + b[None, :, :]).max(1)
 
-    def states(self, matrices: list[np.ndarray]) -> list[int]:
-        """Entry states of the chunks and the last one's exit: prefix products forward, suffix products back."""
-        m = self.longest
-        start, end = np.full((1, m), -np.inf), np.full((m, 1), -np.inf)
-        start[0, 0] = end[0, 0] = 0.0
-        before = [start]
+    def product(self, matrices) -> np.ndarray:
+        """The product of neighbouring matrices."""
+        out = None
+        for x in matrices:
+            out = x if out is None else self.times(out, x)
+        return out
+
+    def prefixes(self, start: np.ndarray, matrices) -> list[np.ndarray]:
+        """The scores of each chunk's entry states, from those of the first one's; the last are those behind the last chunk."""
+        out = [start]
         for x in matrices:
-            before.append(self.times(before[-1], x))
-        out, after = [0], end
-        found = []
-        for x, b in zip(reversed(matrices), reversed(before[:-1]), strict=True):
-            after_here = after
-            after = self.times(x, after)
-            found.append((b[0], x, after_here[:, 0]))
-        for b, x, after in reversed(found):
-            out.append(int((x[out[-1]] + after).argmax()))
+            out.append((out[-1][:, None] + x).max(0))
+        return out
+
+    def first(self) -> np.ndarray:
+        """Scores of the entry states of a text."""
+        out = np.full(self.longest, -np.inf)
+        out[0] = 0.0
         return out
 
+    def origins(self, text: str, width: int, prefix: np.ndarray) -> np.ndarray:
+        """For each exit state of text[:width], the entry state by which the best path comes, ties as in ``best``.
+
+        No path passes over a run's start: if there is one, it is the same for all exits.
+        """
+        m = self.longest
+        cut = next((i for i in range(1, min(width, LONG_RUN)) if text[i] == SPACE and text[i - 1] != SPACE), None)
+        end = width if cut is None else cut
+        low = -np.inf
+        score, origin = [low] * (end + m), [-1] * (end + m)
+        for s in range(min(m, end + m)):
+            score[s], origin[s] = float(prefix[s]), s if prefix[s] > low else -1
+        for at in range(end):
+            if score[at] == low:
+                continue
+            for stop, gain, _ in self.edges(text, at, len(text)):
+                if score[at] + gain > score[stop]:
+                    score[stop], origin[stop] = score[at] + gain, origin[at]
+        return np.array(origin[width : width + m] if cut is None else [origin[cut]] * m, np.int32)
+
+    def states(self, origins: list[np.ndarray]) -> list[int]:
+        """Entry states of the chunks and the last one's exit, by following the best path back."""
+        out = [0]
+        for x in reversed(origins):
+            out.append(int(x[out[-1]]))
+        return out[::-1]
+
     def scan(self, text: str, chunk: int = 4096) -> list[int]:
         bounds = [*range(0, len(text), chunk), len(text)]
         spans = list(zip(bounds, bounds[1:], strict=False))
-        states = self.states([self.matrix(text, a, b) for a, b in spans])
+        prefixes = self.prefixes(self.first(), [self.matrix(text, a, b) for a, b in spans])
+        states = self.states([self.origins(text[a : b + self.longest], b - a, p) for (a, b), p in zip(spans, prefixes, strict=False)])
         out: list[int] = []
         for (a, b), s, t in zip(spans, states, states[1:], strict=False):
             out += self.best(text[a : b + t], s, b + t - a)[0] if a + s < b + t else []
@@ -317,11 +350,64 @@ def _matrices(path: str):
     return run
 
 
+def _matrix(own: Pieces, data) -> np.ndarray:
+    return np.frombuffer(data).reshape(own.longest, own.longest)
+
+
+def _products(path: str):
+    """One matrix for FAN neighbouring chunks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pieces(path)
+        pdf = pdf.sort_values("chunk")
+        whole = own.product(_matrix(own, x) for x in pdf["matrix"])
+        return pd.DataFrame({"uid": pdf["uid"][:1], "span": pdf["span"][:1], "matrix": [np.ascontiguousarray(whole).tobytes()]})
+
+    return run
+
+
+def _span_prefixes(path: str):
+    """The entry scores of each span of FAN chunks of a text."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pieces(path)
+        pdf = pdf.sort_values("span")
+        found = own.prefixes(own.first(), (_matrix(own, x) for x in pdf["matrix"]))
+        return pd.DataFrame({"uid": pdf["uid"], "span": pdf["span"], "prefix": [x.tobytes() for x in found[:-1]]})
+
+    return run
+
+
+def _chunk_prefixes(path: str):
+    """The entry scores of each chunk of a span."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = pieces(path)
+        left = left.sort_values("chunk")
+        found = own.prefixes(np.frombuffer(right["prefix"].iloc[0]), (_matrix(own, x) for x in left["matrix"]))
+        return pd.DataFrame({"uid": left["uid"], "chunk": left["chunk"], "prefix": [x.tobytes() for x in found[:-1]]})
+
+    return run
+
+
+def _origins(path: str):
+    def run(batches):
+        own = pieces(path)
+        for batch in batches:
+            for uid, chunk, width, part, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = own.origins(part, width, np.frombuffer(prefix))
+                yield pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([chunk], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["uid", "chunk", "origins"])
+
+    return run
+
+
 def _states(path: str):
+    """Follows the best path back over a text's chunks: a few bytes a chunk."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pieces(path)
         pdf = pdf.sort_values("chunk")
-        states = own.states([np.frombuffer(x).reshape(own.longest, own.longest) for x in pdf["matrix"]])
+        states = own.states([np.frombuffer(x, np.int32) for x in pdf["origins"]])
         return pd.DataFrame({"uid": pdf["uid"], "chunk": pdf["chunk"], "enter": states[:-1], "leave": states[1:]}).astype({"enter": "int32", "leave": "int32"})
 
     return run
@@ -360,8 +446,14 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT) -> DataFrame:
         return small.drop("uid")
     part = "uid long, chunk int, width int, part string"
     chunks = common.materialise(large.mapInArrow(_chunks(path), part).repartition("uid", "chunk"), "pieces-chunks")
-    matrices = chunks.mapInArrow(_matrices(path), "uid long, chunk int, matrix binary")
-    states = matrices.groupBy("uid").applyInPandas(_states(path), "uid long, chunk int, enter int, leave int")
+    # up the tree: matrices of chunks, of spans of chunks; down again: entry scores of spans, of chunks
+    matrices = chunks.mapInArrow(_matrices(path), "uid long, chunk int, matrix binary").withColumn("span", F.floor(F.col("chunk") / FAN).cast("int"))
+    matrices = common.materialise(matrices, "pieces-matrices")
+    spans = matrices.groupBy("uid", "span").applyInPandas(_products(path), "uid long, span int, matrix binary")
+    starts = spans.groupBy("uid").applyInPandas(_span_prefixes(path), "uid long, span int, prefix binary")
+    prefixes = matrices.groupBy("uid", "span").cogroup(starts.groupBy("uid", "span")).applyInPandas(_chunk_prefixes(path), "uid long, chunk int, prefix binary")
+    origins = chunks.join(prefixes, ["uid", "chunk"]).select("uid", "chunk", "width", "part", "prefix").mapInArrow(_origins(path), "uid long, chunk int, origins binary")
+    states = origins.groupBy("uid").applyInPandas(_states(path), "uid long, chunk int, enter int, leave int")
     traced = chunks.join(states, ["uid", "chunk"]).select("uid", "chunk", "width", "part", "enter", "leave").mapInArrow(_backtrace(path), "uid long, chunk int, ids binary")
     whole = large.groupBy("uid").cogroup(traced.groupBy("uid")).applyInPandas(_joined(path), OUT)
     return small.unionAll(whole).drop("uid")
