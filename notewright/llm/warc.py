@@ -7,7 +7,8 @@ stored bytes are hashed again when they are read, and a record whose payload doe
 Among records with equal payloads of at least ``min_bytes`` bytes, those of the smallest page_id are
 ``response``, the others ``revisit``, as are rows without a page_id beside a row with one; smaller
 payloads are all ``response``.  A null payload is empty.  Rows: one for each input row, repeated ones included.
-An empty table makes an archive with no record.  Other columns than the id, url and payload aren't read.
+An empty table makes an archive with no record.  Other columns than the id, url and payload aren't read, whatever their names.
+A digest that very many records have is joined apart, so that no task gets all of them.
 """
 
 from __future__ import annotations
@@ -33,23 +34,28 @@ def base32(data: bytes) -> str:
 
 def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
     sha1, sha256, n = [], [], []
-    for x in batch.column(2):
+    for x in batch.column(3):
         data = x.as_py()
         sha1.append(base32(data))
         sha256.append(hashlib.sha256(data).hexdigest())
         n.append(len(data))
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha1), pa.array(sha256)], ["page_id", "url", "n", "sha1", "sha256"])
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(sha1, pa.string()), pa.array(sha256, pa.string())], ["uid", "page_id", "url", "n", "sha1", "sha256"])
 
 
-def header(page_id, url, n: int, sha1: str, sha256: str, refers_to, revisit: bool) -> bytes:
+def record_id(uid: int, page_id, sha256: str) -> str:
+    """A record's URI; uid is the row's number in the archive, so that equal rows are records of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uid}|{page_id}|{sha256}')}>"
+
+
+def header(uid, page_id, url, n: int, sha1: str, sha256: str, first, first_uid, revisit: bool) -> bytes:
+    """A revisit's block is empty: its block digest is that of no bytes, its payload digest that of the payload it refers to."""
     clean = lambda x: " ".join(str(x).split())
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{sha256}")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(uid, page_id, sha256)}", f"WARC-Date: {DATE}"]
     lines += [f"WARC-Target-URI: {clean(url)}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
-    lines += [f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha256:{sha256}", f"X-Payload-Length: {n}"]
+    lines += [f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{base32(b'') if revisit else sha1}", f"X-Payload-SHA256: {sha256}", f"X-Payload-Length: {n}"]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}"] + [f"WARC-Refers-To: {refers_to}"] * (refers_to is not None)
-    lines.append(f"Content-Length: {0 if revisit else n}")
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first_uid, first, sha256)}", f"X-Refers-To-Page-ID: {first}"]
+    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else n}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -70,10 +76,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     """Writes the archive of all rows to the folder ``path``."""
     common.prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), (F.col(url_col) if url_col in pages.columns else F.lit(None)).cast("string").alias("url"), common.text_bytes(payload_col).alias("payload"))
-    meta = common.materialise(common.arrow_map(rows, _digests, "page_id long, url string, n long, sha1 string, sha256 string"), "warc-digests")
-    owner = meta.where(F.col("n") >= min_bytes).groupBy("sha256").agg(F.min("page_id").alias("first")).where("first is not null")
-    typed = meta.join(owner, "sha256", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-    heads = typed.select("page_id", "url", "n", "sha1", "sha256", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
+    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "page_id", "url", "payload")
+    meta = common.materialise(common.arrow_map(numbered, _digests, "uid long, page_id long, url string, n long, sha1 string, sha256 string"), "warc-digests")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uid"))).alias("least")
+    owner = meta.where(F.col("n") >= min_bytes).groupBy("sha256").agg(least).where("least is not null").select("sha256", F.col("least.page_id").alias("first"), F.col("least.uid").alias("first_uid"))
+    typed = common.join_hot(meta, owner, "sha256").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    heads = typed.select("uid", "page_id", "url", "n", "sha1", "sha256", "first", "first_uid", "revisit")
     common.arrow_map(heads, _headers, "header binary").write.parquet(f"{path}/headers")
     # equal payloads are put together before the shuffle, so a frequent one costs a row a task
     store = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
@@ -85,7 +93,7 @@ def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
     for x in batch.column(0):
         h = parse_header(x.as_py())
         number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
-        for col, v in zip(cols, (number("X-Page-ID"), h["WARC-Type"], number("WARC-Refers-To"), h["WARC-Block-Digest"].removeprefix("sha256:"), h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), x.as_py()), strict=True):
+        for col, v in zip(cols, (number("X-Page-ID"), h["WARC-Type"], number("X-Refers-To-Page-ID"), h["X-Payload-SHA256"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), x.as_py()), strict=True):
             col.append(v)
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "record_type", "refers_to", "sha256", "sha1", "n", "header"])
@@ -106,14 +114,15 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys.append(key)
         n.append(len(data))
         sha1.append(base32(data))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(sha1, pa.string())], ["key", "stored_n", "stored_sha1"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(sha1, pa.string())], ["sha256", "stored_n", "stored_sha1"])
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) from what is stored, each payload verified."""
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    checked = common.arrow_map(stored, _verified, "key string, stored_n long, stored_sha1 string")
-    found = read_headers(spark, path).drop("header").join(checked, F.col("sha256") == F.col("key"), "left")
+    checked = common.arrow_map(stored, _verified, "sha256 string, stored_n long, stored_sha1 string")
+    heads = common.materialise(read_headers(spark, path).drop("header"), "warc-records")
+    found = common.join_hot(heads, common.materialise(checked, "warc-checked"), "sha256")
     same = (F.col("n") == F.col("stored_n")) & (F.col("sha1") == F.col("stored_sha1"))
     bad = F.raise_error(F.concat(F.lit("no matching payload for "), F.col("sha256")))
     return found.select("page_id", F.when(same, F.col("stored_n")).otherwise(bad.cast("long")).alias("payload_bytes"), F.col("stored_sha1").alias("payload_digest"), "record_type", "refers_to")
@@ -124,5 +133,5 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
     heads = read_headers(spark, path).select("page_id", "record_type", "sha256", "header")
     end = F.lit(b"\r\n\r\n")
-    full = heads.where("record_type = 'response'").join(stored, "sha256").select("page_id", F.concat("header", "payload", end).alias("record"))
+    full = common.join_hot(common.materialise(heads.where("record_type = 'response'"), "warc-records"), stored, "sha256").select("page_id", F.concat("header", "payload", end).alias("record"))
     return full.unionAll(heads.where("record_type <> 'response'").select("page_id", F.concat("header", end).alias("record")))
