@@ -1,7 +1,7 @@
 """Personal data: surrogates for detected entities.
 
 Detected are e-mail addresses, phone numbers, card numbers (Luhn), IPv4 addresses, social security numbers, IBANs, access keys,
-secrets after ``password=``, ``token =`` and the like, and names after a title.  Each distinct entity gets a replacement that a secret key determines:
+secrets after ``password=``, ``token =`` and the like, and names after a title.  Each distinct entity gets a replacement that a secret key, which the caller gives, determines:
 
 - digits, hexadecimal digits and letters are permuted within their class, length, case and script by a keyed Feistel cipher over the
   characters to replace, so distinct entities of a type and format have distinct surrogates and the same entity has the same one everywhere;
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import os
 import re
+import secrets
 import unicodedata
 
 import pyarrow as pa
@@ -31,8 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEY = b"notewright surrogate key"
-ROUNDS = 8
+ROUNDS, KEY_NAME, LEAST_KEY = 8, "NOTEWRIGHT_PII_KEY", 16
 #: Titles by gender, and given names by script and gender (fixed values).
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Г-н", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Κυρία"), "n": ("Dr", "Prof", "Mx")}
 GIVEN = {
@@ -67,7 +68,29 @@ PATTERNS = (
 _FURTHER = re.compile(r"(?:(?<=\b[^\W\d_])\.)? (?:(?:" + "|".join(PARTICLES) + r") )*(?P<w>[^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _ALL = re.compile("|".join(f"(?P<{n}>{p.replace('?P<v>', f'?P<v_{n}>')})" for n, p in PATTERNS))
 #: A text with none of these has none of the entities.
-_HINT = re.compile(r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_\-/+]{6}|(?:" + "|".join(map(re.escape, _GENDER)) + r")\.? ")
+_HINT = re.compile(r"[0-9@]|A[KS]IA[A-Z]{16}|[=:]\s*[\"']?[A-Za-z0-9_\-/+]{6}|(?:" + "|".join(map(re.escape, _GENDER)) + r")\.? ")
+
+
+_drawn: list[bytes] = []
+
+
+def secret_key() -> bytes:
+    """The key in the environment variable NOTEWRIGHT_PII_KEY; where it is unset, one drawn at random for this process and kept nowhere.
+
+    There is no key in the source: who doesn't hold it can't invert the ciphers.  Surrogates that must agree between runs need the variable.
+    """
+    given = os.environ.get(KEY_NAME, "").encode()
+    if given:
+        return checked_key(given)
+    if not _drawn:
+        _drawn.append(secrets.token_bytes(32))
+    return _drawn[0]
+
+
+def checked_key(key: bytes) -> bytes:
+    if len(key) < LEAST_KEY:
+        raise ValueError(f"a surrogate key has {LEAST_KEY} bytes at least")
+    return key
 
 
 def luhn_digit(digits: str) -> str:
@@ -235,7 +258,7 @@ def script_of(word: str) -> str:
     return name if name in SYLLABLES else "LATIN"
 
 
-def surrogate(kind: str, value: str, context: str, key: bytes = KEY, draw: int = 0) -> str:
+def surrogate(kind: str, value: str, context: str, key: bytes, draw: int = 0) -> str:
     """The draw-th replacement of an entity; ciphers differ by draw too."""
     tweak = f"{kind}{draw or ''}"
     if kind == "email":
@@ -305,7 +328,7 @@ def _redraw(key: bytes, draw: int):
     return run
 
 
-def surrogate_table(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def surrogate_table(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """(kind, value, surrogate, changed) of all distinct entities; surrogates are distinct within a kind and no entity of it."""
     shape = "kind string, value string, context string, surrogate string"
     found = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(_entities(key), shape)
@@ -362,18 +385,20 @@ def _holders(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([uid] * len(rows), pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["uid", "kind", "value"])
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """The rows with their texts' entities replaced, and n_entities and entity_types (names are free of clashes)."""
     spark = docs.sparkSession
     common.prepare(spark)
-    changed = common.materialise(surrogate_table(docs, text_col, key).where("changed or kind = 'name'").select("kind", "value", "surrogate"), "pii-changed")
+    checked_key(key)
+    changed = common.materialise(surrogate_table(docs, key, text_col).where("changed or kind = 'name'").select("kind", "value", "surrogate"), "pii-changed")
     n_entities, types = common.free_name(docs, "n_entities"), common.free_name(docs, "entity_types")
     pairs = common.free_name(docs, "pairs")
     if changed.isEmpty():
         rows = docs.withColumn(pairs, F.lit(None).cast("array<struct<kind:string,value:string,surrogate:string>>"))
     else:
         uid = common.free_name(docs, "uid")
-        numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+        # stored, so that a row has one number wherever it is read
+        numbered = common.materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "pii-numbered")
         held = numbered.select(F.col(uid).alias("uid"), F.col(text_col).cast("string").alias("text")).mapInArrow(_holders, "uid long, kind string, value string")
         # a document's list is bounded by the entities it holds
         lists = held.join(changed, ["kind", "value"]).groupBy("uid").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(pairs))
