@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import components, drop_path, fresh_path, materialise, prepare, shared_dir
+from ..plans.shared import components, drop_path, drop_since, fresh_path, materialise, prepare, shared_dir, written
 
-__all__ = ["arrow_map", "components", "drop_path", "free_name", "fresh_path", "materialise", "prepare", "remainder", "shared_dir", "text_bytes"]
+__all__ = ["arrow_map", "components", "drop_path", "drop_since", "free_name", "fresh_path", "join_hot", "materialise", "must_be_free", "prepare", "remainder", "shared_dir", "text_bytes", "written"]
 
 
 def remainder(column: str, n: int) -> Column:
@@ -30,6 +30,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def must_be_free(df: DataFrame, names) -> None:
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"the table has columns of these names already: {sorted(taken)}")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, parts: int = 512) -> DataFrame:
+    """A left join with a table of one row a key.  Keys with over 1 / ``parts`` of all rows, fewer than ``parts`` of them, are
+    joined by broadcast, so that no task gets all rows of one; rows should be a stored table, as they are read again."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    least = max(1000, rows.count() // parts)
+    hot = [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, "left")
+    is_hot = F.col(key).isin(hot)
+    near = rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, "left")
+    return near.unionByName(rows.where(~F.coalesce(is_hot, F.lit(False))).join(table.where(~is_hot), key, "left"))
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

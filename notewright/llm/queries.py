@@ -46,7 +46,7 @@ def op5_simhash(spark, sf_dir):
 
 
 def op6_pii(spark, sf_dir):
-    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), pii.secret_key())
 
 
 def op7_matroska(spark, sf_dir):
@@ -96,12 +96,12 @@ def oracle_sql() -> dict[str, str]:
             FROM d""",
         "op3_topk": """
             WITH v AS (
-              SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+              SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
               WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
             s AS (
-              SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+              SELECT a.place, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
               FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
             SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20""",
     }
