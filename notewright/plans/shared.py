@@ -16,10 +16,12 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver found it; bounds Arrow batches."""
+    """Lets Python workers import this package wherever the driver found it; bounds Arrow batches and threads."""
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
+    # the tasks are parallel already: a worker's matrix products take one core
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
