@@ -31,7 +31,7 @@ from . import common
 
 SHINGLE, SEED, RADIUS, CHUNK = 3, 42, 3, 65_536
 #: Fingerprints of a key that are compared with each other, and fingerprints a task whose wide balls are made.
-FEW, SPREAD = 16, 4000
+FEW, SPREAD = 16, 500
 #: Bit fields that a key may leave out: (first bit, bits).
 FIELDS = ((0, 22), (22, 21), (43, 21))
 
@@ -86,17 +86,24 @@ def _exploded(fp, masks):
     return F.explode(F.transform(F.array(*[F.lit(m).cast(LongType()) for m in masks]), lambda m: fp.bitwiseXOR(m)))
 
 
+def spread(rows: DataFrame, each: int) -> DataFrame:
+    """Rows by fingerprint over as many tasks as have ``each`` of them: small tables whose rows become many."""
+    return rows.repartition(max(1, -(-rows.count() // each)), "fp")
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Star links (a, b) between fingerprints whose components are those of all pairs within three bits.
 
     nodes: distinct ``fp``.
     """
     fp = F.col("fp")
+    nodes = spread(nodes, 32 * SPREAD)
     # 1: balls of one bit
     ball = [0, *_flips(range(64))]
     met = nodes.select("fp", _exploded(fp, ball).alias("v")).groupBy("v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     near = common.materialise(met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct(), "simhash-near")
-    part = common.materialise(nodes.join(common.components(near, "simhash-part"), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part")), "simhash-parts")
+    part = spread(nodes.join(common.components(near, "simhash-part"), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part")), 32 * SPREAD)
+    part = common.materialise(part, "simhash-parts")
     # 2: keys that leave a field out, and meet between components
     keys = None
     for i, (first, n) in enumerate(FIELDS):
@@ -116,7 +123,7 @@ def links(nodes: DataFrame) -> DataFrame:
     verified = few.select(F.explode(F.expr(near_one)).alias("x")).select("x.fp")
     again = common.materialise(verified.unionAll(hits.where(F.col("n") > FEW).select("fp")).distinct(), "simhash-again")
     # a small file would be one task; each fingerprint becomes 2 146 rows
-    again = again.repartition(max(1, -(-again.count() // SPREAD)), "fp")
+    again = spread(again, SPREAD)
     # 3: balls of two bits for what is left
     two = [_signed((1 << i) | (1 << j)) for i in range(64) for j in range(i)]
     wide = again.select("fp", _exploded(fp, ball).alias("v"), F.lit(1).alias("one")).unionAll(again.select("fp", _exploded(fp, two).alias("v"), F.lit(0).alias("one")))
