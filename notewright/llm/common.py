@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import components, drop_path, drop_since, fresh_path, materialise, prepare, shared_dir, written
 
-__all__ = ["arrow_map", "components", "drop_path", "drop_since", "free_name", "fresh_path", "join_hot", "materialise", "must_be_free", "prepare", "remainder", "shared_dir", "text_bytes", "written"]
+__all__ = ["arrow_map", "components", "drop_path", "drop_since", "free_name", "fresh_path", "join_hot", "materialise", "must_be_free", "prepare", "remainder", "shared_dir", "text_bytes", "worker_held", "written"]
 
 
 def remainder(column: str, n: int) -> Column:
@@ -30,6 +30,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_held: dict = {}
+
+
+def worker_held(key, make: Callable):
+    """What a Python worker keeps between tasks: one model at a time, so that a worker that serves many stages doesn't hold them all."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def must_be_free(df: DataFrame, names) -> None:
     taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
     if taken:

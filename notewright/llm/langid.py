@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, LONGEST, CACHE = 4000, 4, 200_000
+SAMPLE, LONGEST, CACHE = 4000, 4, 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -128,15 +128,9 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-_models: dict = {}
-
-
 def _predicting(model, kept: int, names: tuple[str, str]):
     def run(batches):
-        if model.id not in _models:
-            _models.clear()
-            _models[model.id] = pickle.loads(model.value)
-        own = _models[model.id]
+        own = common.worker_held(("langid", model.id), lambda: pickle.loads(model.value))
         for batch in batches:
             got = [own.predict(x.as_py()) for x in batch.column(kept)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names[:kept], *names])

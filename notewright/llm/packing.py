@@ -30,9 +30,6 @@ LIMIT, END_ID, DIMS, BITS = 2048, 1, 4, 12
 TOGETHER = 10_000_000
 #: Distinct runs whose ids a worker keeps between calls.
 CACHE = 300_000
-_workers: dict = {}
-
-
 _BLANKS = str.maketrans("\n\t\r", "   ")
 _TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -126,12 +123,6 @@ class Encoder:
         return [special[i] if i in special else flat[a:b] for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _workers:
-        _workers[path] = Encoder(path)
-    return _workers[path]
-
-
 def projection(dims: int = DIMS) -> np.ndarray:
     """A fixed vector of +-1 components for each 16-bit id, by a multiplicative hash."""
     x = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -177,10 +168,7 @@ def place(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _encoding(path: str):
     def run(batches):
-        own = encoder(path)
-        if "table" not in _workers:
-            _workers["table"] = projection()
-        table = _workers["table"]
+        own, table = common.worker_held(("packing", path), lambda: (Encoder(path), projection()))
         docs: list = []
         texts: list[str] = []
         size = 0

@@ -32,7 +32,6 @@ from . import common
 
 SPACE, CHUNK, GIANT, CACHE, LONG_RUN, FAN = "▁", 16_384, 65_536, 300_000, 256, 64
 UNKNOWN_PENALTY = 10.0
-_workers: dict = {}
 
 
 class Pieces:
@@ -297,9 +296,7 @@ class Pieces:
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _workers:
-        _workers[path] = Pieces(path)
-    return _workers[path]
+    return common.worker_held(("pieces", path), lambda: Pieces(path))
 
 
 OUT = "uid long, doc_id long, n_chars long, n_ids int, ids array<int>, ids_crc32 long, round_trip boolean"
