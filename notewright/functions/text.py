@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: The link pattern, files that hold a vault's own rules, and names that are skipped (fixed values).
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 SCHEMA_FILES = ("index.md", "log.md", "AGENTS.md", "CLAUDE.md", "GRAPH_REPORT.md")
 SKIPPED_NAMES = (".obsidian", ".trash", ".git", "node_modules")
@@ -30,8 +31,7 @@ def aliases(content) -> Column:
     """The aliases line of the frontmatter: a bracketed list or one scalar."""
     lines = F.transform(F.split(F.coalesce(frontmatter(content), F.lit("")), "\n"), trimmed)
     rest = trimmed(F.substring(F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit("aliases:")) & (trimmed(F.substring(x, 9, 1 << 30)) != "")), F.lit(1)), 9, 1 << 30))
-    bracketed = F.startswith(rest, F.lit("[")) & F.endswith(rest, F.lit("]"))
-    inner = F.when(bracketed, F.split(F.regexp_replace(rest, r"^\[|\]$", ""), ",")).otherwise(F.array(rest))
+    inner = F.when(F.startswith(rest, F.lit("[")), F.split(F.regexp_replace(rest, r"^\[+|\]+$", ""), ",")).otherwise(F.array(rest))
     clean = F.transform(inner, lambda x: F.regexp_replace(F.regexp_replace(trimmed(x), '^"+|"+$', ""), "^'+|'+$", ""))
     return F.coalesce(F.filter(clean, lambda x: x != ""), F.array().cast("array<string>"))
 
@@ -113,6 +113,6 @@ def _sql(make) -> str:
         return f"filter(transform(regexp_extract_all(coalesce(t, ''), '\\\\[\\\\[([^\\\\]|]+)(?:\\\\|[^\\\\]]+)?\\\\]\\\\]', 1), x -> {trim.format('x')}), x -> x <> '')"
     line = f"try_element_at(filter(transform(split(coalesce({front}, ''), '\\n'), x -> {trim.format('x')}), x -> startswith(x, 'aliases:') AND {trim.format('substring(x, 9)')} <> ''), 1)"
     rest = trim.format(f"substring({line}, 9)")
-    inner = f"CASE WHEN startswith({rest}, '[') AND endswith({rest}, ']') THEN split(regexp_replace({rest}, '^\\\\[|\\\\]$', ''), ',') ELSE array({rest}) END"
+    inner = f"CASE WHEN startswith({rest}, '[') THEN split(regexp_replace({rest}, '^\\\\[+|\\\\]+$', ''), ',') ELSE array({rest}) END"
     quotes = "regexp_replace(regexp_replace({}, '^\"+|\"+$', ''), '^\\'+|\\'+$', '')"
     return f"coalesce(filter(transform({inner}, x -> {quotes.format(trim.format('x'))}), x -> x <> ''), array())"

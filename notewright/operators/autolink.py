@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 _LINK = re.compile(text.WIKILINK)
-_ZONES = re.compile(r"^```.*?^```|`[^`\n]+`|https?://[^\s)\]>]+|\[\[[^\]]*\]\]", re.M | re.S)
+#: What is never linked within, each looked for by itself: fences, inline code, addresses, links (fixed values).
+_ZONES = (re.compile(r"^```[^\n]*\n.*?^```", re.M | re.S), re.compile(r"`[^`]+`"), re.compile(r"https?://\S+"), re.compile(r"\[\[[^\]]+\]\]"))
 _FRONT = re.compile(r"---\n.*?\n---\n", re.S)
 
 
@@ -37,11 +38,10 @@ def auto_link(content: str, rel: str, titles: list[tuple[str, str, str]], stopli
     for _, term, name in fit:
         if name in added or f"[[{name}]]" in body or f"[[{name}|" in body:
             continue
-        zones = [m.span() for m in _ZONES.finditer(body)]
+        zones = [m.span() for zone in _ZONES for m in zone.finditer(body)]
         for m in re.finditer(r"\b" + re.escape(term) + r"\b", body, re.I):
             if all(m.end() <= a or m.start() >= b for a, b in zones):
-                same = text_equal(m.group(), name)
-                body = body[: m.start()] + (f"[[{name}]]" if same else f"[[{name}|{m.group()}]]") + body[m.end() :]
+                body = body[: m.start()] + (f"[[{name}]]" if text_equal(term, name) else f"[[{name}|{m.group()}]]") + body[m.end() :]
                 added.append(name)
                 break
     return head + body, added
@@ -55,12 +55,15 @@ def text_equal(a: str, b: str) -> bool:
 def suggest(notes: DataFrame, titles: DataFrame, stoplist=()) -> DataFrame:
     """(rel, new_text, added) of every note.
 
-    A title reaches a note's kernel only if the note holds the title's first run of letters and digits: an equi-join, so
-    neither side is broadcast, and a note's list is bounded by the titles that it may mention.
+    A title reaches a note's kernel only if the note holds the title's first word, or for a title without a word all of it
+    between two words: an equi-join, so neither side is broadcast, and a note's list is bounded by the titles that it may mention.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda x: x != "")
-    keyed = titles.withColumn("word", F.try_element_at(words(F.col("term")), F.lit(1))).where("word is not null and length(term) >= 3").distinct()
-    held = notes.where(~text.is_raw("rel")).select("rel", F.explode(F.array_distinct(words(F.col("content")))).alias("word"))
+    # letters that match each other without regard to case become equal; upper case leaves the signs among them as they are
+    fold = lambda c: F.translate(F.replace(F.upper(c), F.lit("\u1e9e"), F.lit("SS")), "\u212a\u212b\u2126\u03f4\u0130", "K\u00c5\u03a9\u0398I")
+    split = lambda c, at: F.filter(F.split(c, at), lambda x: x != "")
+    words, gaps = (lambda c: split(fold(c), r"[^\p{L}\p{N}_]+")), (lambda c: split(c, r"[\p{L}\p{N}_]+"))
+    keyed = titles.withColumn("word", F.coalesce(F.try_element_at(words(F.col("term")), F.lit(1)), F.col("term"))).where("length(term) >= 3").distinct()
+    held = notes.where(~text.is_raw("rel")).select("rel", F.explode(F.array_distinct(F.concat(words(F.col("content")), gaps(F.col("content"))))).alias("word"))
     pairs = held.join(keyed.select("word", "term", "canonical", F.col("rel").alias("title_rel")), "word").where(F.col("rel") != F.col("title_rel"))
     lists = pairs.groupBy("rel").agg(F.sort_array(F.collect_set(F.struct("term", "canonical", F.col("title_rel").alias("path")))).alias("titles"))
     rows = notes.select("rel", F.coalesce("content", F.lit("")).alias("content")).join(lists, "rel", "left")

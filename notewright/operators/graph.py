@@ -10,7 +10,7 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import components as _components
@@ -18,6 +18,8 @@ from ..plans.shared import materialise
 from .edges import nodes as nodes_of
 
 DAMPING, ROUNDS, PASSES, LEAST_COMMUNITY, EXACT_UP_TO, SAMPLES, SMALL = 0.85, 50, 20, 3, 500, 100, 200_000
+#: Directed edges of a component that one task takes; larger ones go through joins.
+KERNEL = 2_000_000
 
 
 def small(edges: DataFrame, most: int = SMALL) -> bool:
@@ -106,25 +108,28 @@ def _normalised(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.select("name", (F.col(column) / top if top > 0 else F.col(column)).alias(name))
 
 
-def sources_of(adjacency: DataFrame) -> DataFrame:
-    """(name): all nodes of a small graph, else the first SAMPLES of the sorted names at a stride of n / SAMPLES.
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """The rows with their ``place`` (from 0) in an order of no ties, from the sizes of the ranges before theirs, not from one task."""
+    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    parted = materialise(parted, "places")
+    sizes = {r[0]: (r[1], r[2]) for r in parted.groupBy("_part").agg(F.count("*"), F.min("_k")).collect()}  # a row for each range
+    shift, total = [], 0
+    for part in sorted(sizes):
+        shift += [F.lit(part), F.lit(total - sizes[part][1])]
+        total += sizes[part][0]
+    if not shift:
+        return parted.withColumn("place", F.lit(0).cast("long")).drop("_part", "_k")
+    return parted.withColumn("place", F.col("_k") + F.element_at(F.create_map(*shift), F.col("_part"))).drop("_part", "_k")
 
-    The places of the sorted names come from sizes of the ranges before them, not from one task.
-    """
+
+def sources_of(adjacency: DataFrame) -> DataFrame:
+    """(name): all nodes of a small graph, else the first SAMPLES of the sorted names at a stride of n / SAMPLES."""
     names = adjacency.select(F.col("u").alias("name")).distinct()
     n = names.count()
     if n <= EXACT_UP_TO:
         return names
     step = max(n // SAMPLES, 1)
-    ranged = materialise(names.repartitionByRange("name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()), "sources")
-    sizes = {r[0]: (r[1], r[2]) for r in ranged.groupBy("part").agg(F.count("*"), F.min("k")).collect()}
-    base, total = {}, 0
-    for part in sorted(sizes):
-        base[part] = total - sizes[part][1]
-        total += sizes[part][0]
-    shift = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    place = F.col("k") + F.element_at(shift, F.col("part"))
-    return ranged.where((place % step == 0) & (place < step * SAMPLES)).select("name")
+    return placed(names, "name").where((F.col("place") % step == 0) & (F.col("place") < step * SAMPLES)).select("name")
 
 
 def brandes(around: dict[str, list[str]], source: str) -> dict[str, float]:
@@ -251,15 +256,14 @@ def dissolve_small(around: dict[str, list[str]], own: dict[str, int]) -> dict[st
 
 
 def communities(adjacency: DataFrame) -> DataFrame:
-    """(name, community_id, size): ids by size, then least member.
+    """(name, community_id, size, label): ids by size, then least member, which is the label.
 
-    The passes are sequential within a component and independent between components, so each component is one task of the
-    kernel; a component's size bounds what this operator can take.
+    The passes are sequential within a component and independent between components: a component of at most KERNEL edges is one
+    task of the kernel, whose memory that bounds; a larger one moves by joins, all its nodes at once.
     """
-    loops_out = adjacency.where("u < v")
-    m = loops_out.count()
-    parts = components(adjacency)
-    rows = adjacency.join(parts, F.col("u") == F.col("name")).select("component", "u", "v")
+    m = adjacency.where("u < v").count()
+    rows = adjacency.join(components(adjacency), F.col("u") == F.col("name")).select("component", "u", "v")
+    large = materialise(rows.groupBy("component").count().where(F.col("count") > KERNEL).select("component"), "communities-large")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         around = {u: sorted(g) for u, g in pdf.groupby("u")["v"]}
@@ -269,11 +273,41 @@ def communities(adjacency: DataFrame) -> DataFrame:
             least.setdefault(own[x], x)
         return pd.DataFrame({"name": list(own), "label": [least[c] for c in own.values()]})
 
-    found = materialise(rows.groupBy("component").applyInPandas(run, "name string, label string"), "communities")
-    sizes = found.groupBy("label").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "label")
-    # numbering is over communities; their places come from a sort by range
-    numbered = sizes.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("label string, size long, community_id long")
-    return found.join(numbered, "label").select("name", "community_id", "size", "label")
+    found = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, "name string, label string")
+    if not large.isEmpty():
+        found = found.unionAll(_moving_joins(materialise(rows.join(large, "component", "left_semi").select("u", "v"), "communities-edges"), m))
+    found = materialise(found, "communities")
+    sizes = placed(found.groupBy("label").agg(F.count("*").alias("size")), F.desc("size"), F.asc("label"))
+    return found.join(sizes, "label").select("name", F.col("place").alias("community_id"), "size", "label")
+
+
+def _moving_joins(edges: DataFrame, m: int) -> DataFrame:
+    """(name, label): all nodes of a pass move at once, where the gain is above that of staying; passes that only lower the community's
+    name alternate with passes that only raise it, so that two nodes can't change places for ever.  Small communities go to larger ones first."""
+    own = materialise(edges.groupBy(F.col("u").alias("name")).agg(F.count("*").alias("degree")).withColumn("c", F.col("name")), "moving")
+    still = 0
+    for turn in range(PASSES):
+        near = edges.join(own.select(F.col("name").alias("v"), "c"), "v").groupBy("u", "c").agg(F.count("*").alias("e"))
+        total = own.groupBy("c").agg(F.sum("degree").alias("w"))
+        mine = own.select(F.col("name").alias("u"), F.col("c").alias("now"), "degree")
+        home = F.col("c") == F.col("now")
+        gain = F.col("e") / m - (F.col("w") - F.when(home, F.col("degree")).otherwise(0)) * F.col("degree") / (2.0 * m * m)
+        side = F.col("c") < F.col("now") if turn % 2 == 0 else F.col("c") > F.col("now")
+        gains = near.join(total, "c").join(mine, "u").withColumn("g", gain).where(home | side)
+        # at a tie a node stays
+        best = gains.groupBy("u", "now").agg(F.min(F.struct((-F.col("g")).alias("g"), (~home).alias("away"), "c")).alias("x"))
+        moves = materialise(best.where("x.away and x.g < 0").select(F.col("u").alias("name"), F.col("x.c").alias("to")), "moving-moves")
+        still = still + 1 if moves.isEmpty() else 0
+        if still == 2:
+            break
+        own = materialise(own.join(moves, "name", "left").select("name", "degree", F.coalesce("to", "c").alias("c")), "moving")
+    little = own.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") < LEAST_COMMUNITY).select("c")
+    loose = own.join(little, "c", "left_semi").select(F.col("name").alias("u"), F.col("c").alias("now"))
+    around = edges.join(loose, "u").join(own.select(F.col("name").alias("v"), "c"), "v").where("c <> now").groupBy("u", "c").agg(F.count("*").alias("e"))
+    around = around.join(little.withColumn("little", F.lit(True)), "c", "left").withColumn("little", F.col("little").isNotNull())
+    to = around.groupBy("u").agg(F.min(F.struct("little", (-F.col("e")).alias("e"), "c")).alias("x")).select(F.col("u").alias("name"), F.col("x.c").alias("to"))
+    own = materialise(own.join(to, "name", "left").select("name", F.coalesce("to", "c").alias("c")), "moving")
+    return own.join(own.groupBy("c").agg(F.min("name").alias("label")), "c").select("name", "label")
 
 
 def cluster(found: DataFrame) -> DataFrame:
@@ -281,6 +315,13 @@ def cluster(found: DataFrame) -> DataFrame:
     return found.groupBy(F.col("community_id").alias("id")).agg(F.count("*").alias("size"), F.min("name").alias("label"), F.sort_array(F.collect_list("name")).alias("members")).orderBy("id")
 
 
+def cluster_heads(found: DataFrame, most: int = 15) -> DataFrame:
+    """As ``cluster``, with each community's first ``most`` members alone: a report shows no more."""
+    rank = F.row_number().over(Window.partitionBy("community_id").orderBy("name"))
+    heads = found.withColumn("_n", rank).where(F.col("_n") <= most)
+    return heads.groupBy(F.col("community_id").alias("id")).agg(F.first("size").alias("size"), F.min("name").alias("label"), F.sort_array(F.collect_list("name")).alias("members")).orderBy("id")
+
+
 def hubs(adjacency: DataFrame, between: DataFrame, rank: DataFrame, limit: int = 15) -> DataFrame:
     """(name, score, degree, betweenness, pagerank): 0.4 degree / maximum + 0.3 betweenness + 0.3 pagerank."""
     degree = adjacency.groupBy(F.col("u").alias("name")).agg(F.count("*").alias("degree"))
@@ -291,10 +332,10 @@ def hubs(adjacency: DataFrame, between: DataFrame, rank: DataFrame, limit: int =
 
 
 def bridges(links: DataFrame, found: DataFrame, between: DataFrame, limit: int = 10) -> DataFrame:
-    """(source, target, score): occurrences of links between communities, by the sum of their ends' betweenness."""
+    """(source, target, score, source_community, target_community): occurrences of links between communities, by the sum of their ends' betweenness."""
     side = found.select("name", "community_id").join(between, "name", "left")
     a = side.toDF("src", "ca", "ba")
     b = side.toDF("dst", "cb", "bb")
     rows = links.join(a, "src", "left").join(b, "dst", "left").where(~F.col("ca").eqNullSafe(F.col("cb")))
     score = F.coalesce("ba", F.lit(0.0)) + F.coalesce("bb", F.lit(0.0))
-    return rows.select(F.col("src").alias("source"), F.col("dst").alias("target"), score.alias("score")).orderBy(F.desc("score"), "source", "target").limit(limit)
+    return rows.select(F.col("src").alias("source"), F.col("dst").alias("target"), score.alias("score"), F.col("ca").alias("source_community"), F.col("cb").alias("target_community")).orderBy(F.desc("score"), "source", "target").limit(limit)

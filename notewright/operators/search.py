@@ -32,31 +32,45 @@ def document_frequency(notes: DataFrame) -> DataFrame:
 
 
 def search(notes: DataFrame, query: str, limit: int | None = LIMIT) -> DataFrame:
-    """(rel, score): best first, ties by rel.  Hits without a whole-token match have score 0.
+    """(rel, score), and root_ord where the notes have it: best first, ties by rel.  Hits without a whole-token match have score 0.
 
-    One aggregation over the corpus gives its size, average length and the query tokens' document frequencies;
-    one pass then scores candidates and keeps the best.
+    This way is for notes without an index (``operators.index``): one aggregation over the corpus gives its size, average length
+    and the query tokens' document frequencies; one pass then scores candidates and keeps the best.
     """
     asked = query.lower().split()
     tokens = text.tokens(F.lower("content"))
-    rows = notes.select("rel", F.lower("content").alias("lc"), tokens.alias("toks"), F.size(text.tokens("content")).alias("dl"))
-    each = {t: i for i, t in enumerate(dict.fromkeys(asked))}
-    held = [F.sum(F.array_contains("toks", t).cast("int")).alias(f"df{i}") for t, i in each.items()]
+    keys = note_keys(notes)
+    rows = notes.select(*keys, F.lower("content").alias("lc"), tokens.alias("toks"), F.size(text.tokens("content")).alias("dl"))
+    each = list(dict.fromkeys(asked))
+    held = [F.sum(F.array_contains("toks", t).cast("int")).alias(f"df{i}") for i, t in enumerate(each)]
     total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *held).first()
-    n, avg = total["n"], total["avg"] or 1.0
+    tf = {t: F.size(F.filter("toks", lambda x: x == t)) for t in each}  # noqa: B023 - used at once
+    score = bm25(asked, tf, {t: total[f"df{i}"] or 0 for i, t in enumerate(each)}, total["n"], total["avg"] or 1.0)
+    return best(rows.where(candidates(F.col("lc"), query)).select(*keys, score.alias("score")), limit)
+
+
+def note_keys(rows: DataFrame) -> list[str]:
+    return [c for c in ("root_ord", "rel") if c in rows.columns]
+
+
+def best(found: DataFrame, limit: int | None) -> DataFrame:
+    return found.orderBy(F.desc("score"), "rel", *note_keys(found)[:-1]).limit(limit) if limit is not None else found
+
+
+def bm25(asked: list[str], tf: dict[str, Column], df: dict[str, int], n: int, average: float, length: str = "dl") -> Column:
+    """The score of a note by the query's tokens, a repeated token counted each time."""
     score = F.lit(0.0)
     for t in asked:
-        df = total[f"df{each[t]}"] or 0
-        tf = F.size(F.filter("toks", lambda x: x == t)).cast("double")  # noqa: B023 - used at once
-        idf = F.log((F.lit(float(n - df)) + 0.5) / (F.lit(float(df)) + 0.5) + 1.0)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(avg))))
-    found = rows.where(candidates(F.col("lc"), query)).select("rel", score.alias("score"))
-    return found.orderBy(F.desc("score"), "rel").limit(limit) if limit is not None else found
+        times = tf[t].cast("double")
+        idf = F.log((F.lit(float(n - df[t])) + 0.5) / (F.lit(float(df[t])) + 0.5) + 1.0)
+        score = score + idf * times * (K1 + 1) / (times + K1 * (1 - B + B * F.col(length) / F.lit(float(average))))
+    return score
 
 
 def with_snippets(hits: DataFrame, notes: DataFrame, query: str) -> DataFrame:
-    """Contents are joined again only for the hits."""
-    return hits.join(notes.select("rel", "content"), "rel").select("rel", text.snippet("content", query).alias("snippet"), "score")
+    """Contents are joined again only for the hits, by root and path."""
+    keys = note_keys(hits)
+    return hits.join(notes.select(*keys, "content"), keys).select(*keys, text.snippet("content", query).alias("snippet"), "score")
 
 
 def trigrams(notes: DataFrame) -> DataFrame:

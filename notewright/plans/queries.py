@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import autolink, edges, graph, lint, search
+from ..operators.index import Index
 from ..sources import vault
 from . import corpora
 from .shared import fresh_path, prepare
@@ -47,8 +48,24 @@ def _search_sql(q: str, limit: int = 20) -> str:
       SELECT rel, round(score, 6) AS score FROM (SELECT rel, CAST({score} AS DOUBLE) AS score FROM d, s WHERE {hit}) ORDER BY round(score, 9) DESC, rel LIMIT {limit}"""
 
 
+_indexes: dict[tuple, Index] = {}
+
+
+def document_index(spark, sf_dir) -> Index:
+    """The documents' index, made once for a session and folder, as an engine keeps it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = Index(spark, fresh_path(spark, "document-index")).add(corpora.document_notes(spark, sf_dir))
+    return _indexes[key]
+
+
 def _search(q):
-    return lambda spark, sf_dir: _rounded(search.search(corpora.document_notes(spark, sf_dir), q), "score")
+    return lambda spark, sf_dir: _rounded(document_index(spark, sf_dir).search(q).select("rel", "score"), "score")
+
+
+@query("search_without_index", _search_sql("the idiot tionre"))
+def _search_scan(spark, d):
+    return _rounded(search.search(corpora.document_notes(spark, d), "the idiot tionre").select("rel", "score"), "score")
 
 
 for _name, _q in {"search_bm25_top20": "the idiot tionre", "search_rare_term": "License, Apache", "search_punct_quirk": "the, (of)", "search_short_term": "zu", "search_empty_terms": "...", "search_repeated_term": "loser loser trash"}.items():
@@ -172,11 +189,24 @@ def _components(spark, d):
     return graph.components(edges.undirected(edges.links(corpora.vault_notes(spark, d))))
 
 
-@query("pagerank_50", f"""{PAGES.replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)}, nodes AS (SELECT DISTINCT u AS name FROM adj UNION SELECT 'page ' || page_id FROM pages), w AS (SELECT src, dst, count(*) AS w FROM links GROUP BY src, dst),
+_BETWEEN = """b_names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS k FROM (SELECT DISTINCT u AS name FROM adj)), b_step AS (SELECT count(*) AS n, greatest(count(*) // 100, 1) AS step FROM b_names),
+  b_src AS (SELECT name AS s FROM b_names, b_step WHERE n <= 500 OR (k % step = 0 AND k < 100 * step)),
+  b_walk AS (SELECT s, s AS node, 0 AS k FROM b_src UNION SELECT s, v, k + 1 FROM b_walk JOIN adj ON node = u WHERE k < 12), b_dist AS (SELECT s, node, min(k) AS k FROM b_walk GROUP BY s, node),
+  b_paths AS (SELECT s, s AS node, 0 AS k, CAST(1 AS DOUBLE) AS p FROM b_src
+    UNION ALL SELECT w.s, a.v, w.k + 1, sum(w.p) FROM b_paths w JOIN adj a ON w.node = a.u JOIN b_dist d ON d.s = w.s AND d.node = a.v AND d.k = w.k + 1 GROUP BY w.s, a.v, w.k),
+  b_share AS (SELECT s, node, k, p, CAST(0 AS DOUBLE) AS x FROM b_paths WHERE k = (SELECT max(k) FROM b_paths)
+    UNION ALL SELECT g.s, g.node, g.k, g.p, coalesce(sum(g.p / t.p * (1 + t.x)), 0) FROM (SELECT max(k) - 1 AS k FROM b_share) l JOIN b_paths g ON g.k = l.k
+      LEFT JOIN adj a ON a.u = g.node LEFT JOIN b_share t ON t.s = g.s AND t.node = a.v AND t.k = g.k + 1 GROUP BY g.s, g.node, g.k, g.p),
+  b_sums AS (SELECT node AS name, sum(x) AS x FROM b_share WHERE node <> s GROUP BY node),
+  between_of AS (SELECT b_names.name, coalesce(x, 0) / max(coalesce(x, 0)) OVER () AS betweenness FROM b_names LEFT JOIN b_sums USING (name))"""
+_RANK = """nodes AS (SELECT DISTINCT u AS name FROM adj UNION SELECT 'page ' || page_id FROM pages), w AS (SELECT src, dst, count(*) AS w FROM links GROUP BY src, dst),
   s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes),
   r AS (SELECT name, 1.0 / n AS r, 0 AS i FROM nodes, n UNION ALL
-    SELECT nodes.name, 0.15 / n.n + 0.85 * coalesce(g.g, 0), g0.i + 1 FROM nodes, n, (SELECT max(i) AS i FROM r) g0 LEFT JOIN (SELECT dst, sum(r.r * share) AS g FROM r JOIN s ON r.name = s.src GROUP BY dst) g ON g.dst = nodes.name WHERE g0.i < 50)
-  SELECT name, round(r / max(r) OVER (), 6) AS pagerank FROM r WHERE i = 50""")
+    SELECT nodes.name, 0.15 / n.n + 0.85 * coalesce(g.g, 0), g0.i + 1 FROM nodes, n, (SELECT max(i) AS i FROM r) g0 LEFT JOIN (SELECT dst, sum(r.r * share) AS g FROM r JOIN s ON r.name = s.src GROUP BY dst) g ON g.dst = nodes.name WHERE g0.i < 50),
+  rank_of AS (SELECT name, r / max(r) OVER () AS pagerank FROM r WHERE i = 50)"""
+
+
+@query("pagerank_50", f"{PAGES}, {_RANK} SELECT name, round(pagerank, 6) AS pagerank FROM rank_of")
 def _pagerank(spark, d):
     return _rounded(graph.pagerank(corpora.page_notes(spark, d), corpora.page_links(spark, d)), "pagerank")
 
@@ -185,12 +215,14 @@ def _adjacency(spark, d):
     return edges.undirected(corpora.page_links(spark, d)).persist()
 
 
-@query("betweenness")
+@query("betweenness", f"{PAGES}, {_BETWEEN} SELECT name, round(betweenness, 6) AS betweenness FROM between_of")
 def _between(spark, d):
     return _rounded(graph.betweenness(_adjacency(spark, d)), "betweenness")
 
 
-@query("hub_nodes")
+@query("hub_nodes", f"""{PAGES}, {_BETWEEN}, {_RANK}, deg AS (SELECT u AS name, count(*) AS degree FROM adj GROUP BY u),
+  h AS (SELECT name, 0.4 * degree / max(degree) OVER () + 0.3 * betweenness + 0.3 * pagerank AS score, degree, betweenness, pagerank FROM deg JOIN between_of USING (name) JOIN rank_of USING (name))
+  SELECT name, round(score, 6) AS score, degree, round(betweenness, 6) AS betweenness, round(pagerank, 6) AS pagerank FROM h ORDER BY round(h.score, 9) DESC, name LIMIT 15""")
 def _hubs(spark, d):
     adj = _adjacency(spark, d)
     return _rounded(graph.hubs(adj, graph.betweenness(adj), graph.pagerank(corpora.page_notes(spark, d), corpora.page_links(spark, d))), "score", "betweenness", "pagerank")

@@ -7,9 +7,10 @@ import html
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A vault's folders (fixed values).
 FOLDERS = ("raw", "wiki/entities", "wiki/concepts", "wiki/sources", "wiki/comparisons")
 COLOURS = ("#4c78a8", "#f58518", "#54a24b", "#e45756", "#72b7b2", "#eeca3b", "#b279a2", "#ff9da6", "#9d755d", "#bab0ac", "#1f77b4", "#2ca02c")
 
@@ -19,19 +20,47 @@ def upsert(notes: DataFrame, changed: DataFrame) -> DataFrame:
     return notes.join(changed.select("root_ord", "rel"), ["root_ord", "rel"], "left_anti").select(notes.columns).unionByName(changed.select(notes.columns))
 
 
-def render_report(totals, hubs, communities, bridges, today: str | None = None) -> str:
-    """totals: (nodes, edges, orphans); hubs, communities (id, size, label, members) and bridges: small row lists."""
+def write_text(spark: SparkSession, path: str, parts) -> None:
+    """Writes pieces of text as one file, wherever the path's file system is; folders are made."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)
+    out = fs.create(target, True)
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def render_report(name: str, totals, hubs, communities, bridges, n_communities: int | None = None, today: str | None = None) -> str:
+    """totals: (nodes, edges, orphans); hubs, communities (id, size, label, members) and bridges (source, target, score, communities): small row lists.
+
+    The headings, the columns and the order of a report's parts are its format.
+    """
     today = today or datetime.date.today().isoformat()
-    out = ["---", "title: Graph report", f"date: {today}", "---", "", "# Graph report", "", f"{totals[0]} notes, {totals[1]} links, {len(communities)} communities, {totals[2]} orphans.", "", "## Hubs", "", "| # | Note | Score | Links | Betweenness | PageRank |", "|-|-|-|-|-|-|"]
-    out += [f"| {i} | [[{h[0]}]] | {h[1]:.3f} | {h[2]} | {h[3]:.3f} | {h[4]:.3f} |" for i, h in enumerate(hubs, 1)]
-    out += ["", "## Communities", ""]
+    n_communities = len(communities) if n_communities is None else n_communities
+    lines = ["---", f'title: "Graph Report: {name}"', f"date: {today}", "type: report", "---", "", f"# Graph Report: {name}", ""]
+    lines += [f"**Generated:** {today} | **Notes:** {totals[0]} | **Links:** {totals[1]} | **Communities:** {n_communities} | **Orphans:** {totals[2]}", ""]
+    lines += ["## God nodes", "", "Notes that matter by their links, betweenness and PageRank.", "", "| Rank | Note | Score | Connections | Betweenness | PageRank |", "|-|-|-|-|-|-|"]
+    for place, hub in enumerate(hubs, 1):
+        lines.append(f"| {place} | [[{hub[0]}]] | {hub[1]:.2f} | {hub[2]} | {hub[3]:.2f} | {hub[4]:.2f} |")
+    lines += ["", "## Communities", ""]
     for ident, size, label, members in communities:
-        more = f" … and {size - 15} more" if size > 15 else ""
-        out += [f"### {ident + 1}. {label} ({size})", "", ", ".join(f"[[{m}]]" for m in members[:15]) + more, ""]
+        rest = f" ... and {size - 15} more" if size > 15 else ""
+        lines += [f"### Community {ident + 1} — [[{label}]] ({size} notes)", "", ", ".join(f"[[{m}]]" for m in members[:15]) + rest, ""]
     if bridges:
-        out += ["## Bridges", "", *(f"- [[{b[0]}]] to [[{b[1]}]] ({b[2]:.3f})" for b in bridges), ""]
-    out += ["## Questions", "", *(f"- What ties {b[0]} to {b[1]}?" for b in bridges[:3]), *(f"- What do the notes around {h[0]} have in common?" for h in hubs[:3])]
-    return "\n".join(out) + "\n"
+        lines += ["## Surprising connections", ""]
+        for source, target, score, a, b in bridges:
+            lines.append(f"- [[{source}]] (community {(a or 0) + 1}) → [[{target}]] (community {(b or 0) + 1}) — bridge score: {score:.2f}")
+        lines.append("")
+    lines += ["## Suggested questions", ""]
+    if len(hubs) > 1:
+        lines.append(f"1. What ties [[{hubs[0][0]}]] to [[{hubs[1][0]}]]?")
+    if totals[2]:
+        lines.append(f"2. Where do the {totals[2]} orphan notes belong in the wiki?")
+    lines.append("3. Which claims would a lint pass show as stale or at odds?")
+    return "\n".join(lines) + "\n"
 
 
 _PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>%(title)s</title>
@@ -59,11 +88,24 @@ def _json(x) -> str:
     return json.dumps(x, ensure_ascii=False).replace("<", "\\u003c")
 
 
-def render_graph(nodes, edges, labels, title: str = "Note graph") -> str:
-    """nodes: (id, group, importance, degree); edges: (from, to), one for each occurrence; labels: {group: name}."""
-    shown = [{"id": n[0], "label": n[0], "group": n[1], "size": round(4 + 16 * n[2], 2), "degree": n[3]} for n in nodes]
+def render_graph(nodes, edges, labels, title: str = "Note graph"):
+    """The page in pieces.  nodes: (id, group, importance, degree); edges: (from, to), one for each occurrence; labels: {group: name}.
+    Nodes and edges are taken one after another, so that they needn't be in memory together."""
     legend = " ".join(f'<b style="color:{COLOURS[g % len(COLOURS)]}">{html.escape(str(name))}</b>' for g, name in sorted(labels.items()))
-    return _PAGE % {"title": html.escape(title), "legend": legend, "nodes": _json(shown), "edges": _json([{"from": a, "to": b} for a, b in edges]), "colours": _json(COLOURS)}
+    page = _PAGE % {"title": html.escape(title), "legend": legend, "nodes": "\0", "edges": "\0", "colours": _json(COLOURS)}
+    head, middle, end = page.split("\0")
+    yield head
+    yield from _listed({"id": n[0], "label": n[0], "group": n[1], "size": round(4 + 16 * n[2], 3), "degree": n[3]} for n in nodes)
+    yield middle
+    yield from _listed({"from": a, "to": b} for a, b in edges)
+    yield end
+
+
+def _listed(items):
+    yield "["
+    for i, x in enumerate(items):
+        yield ("," if i else "") + _json(x)
+    yield "]"
 
 
 def graph_nodes(degrees: DataFrame, found: DataFrame, hubs: DataFrame) -> DataFrame:

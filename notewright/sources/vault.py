@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +14,7 @@ from ..functions import text
 
 NOTES = T.StructType([T.StructField("root_ord", T.IntegerType()), T.StructField("rel", T.StringType()), T.StructField("stem", T.StringType()), T.StructField("content", T.StringType()), T.StructField("mtime", T.TimestampType())])
 #: Words that aren't linked by default (fixed values).
-STOPWORDS = ("index", "log", "readme", "agents", "claude", "todo", "notes")
+STOPWORDS = ("index", "readme", "agents", "claude", "log", "skill", "changelog")
 IGNORE_FILE, STOPLIST_FILE = ".notewrightignore", ".notewrightstoplist"
 
 
@@ -42,32 +42,85 @@ def is_immutable(path: str) -> bool:
     return normalise_path(path.lstrip("/ ")).split("/")[0].lower() == "raw"
 
 
-def ignore_condition(patterns: list[str] | None, rel: Column) -> Column:
-    """Rows to keep: by gitignore-like patterns, which replace the default names to skip."""
-    hidden = F.exists(F.split(rel, "/"), lambda p: F.startswith(p, F.lit(".")))
-    if patterns is None:
-        return ~(hidden | F.exists(F.split(rel, "/"), lambda p: p.isin(*text.SKIPPED_NAMES)))
-    drop = F.lit(False)
-    for pattern in patterns:
-        keep, body = pattern.startswith("!"), pattern.lstrip("!")
-        anchored, body = "/" in body.rstrip("/"), body.strip("/")
-        regex = fnmatch.translate(body).replace("(?s:", "(?:").removesuffix(r"\Z").removesuffix(r"\z").replace(".*", "[^/]*")
-        hit = rel.rlike(("^" if anchored else "(^|/)") + regex + ("/" if pattern.endswith("/") else "(/|$)"))
-        drop = F.when(hit, F.lit(not keep)).otherwise(drop)
-    return ~(hidden | drop)
+def glob_regex(pattern: str) -> str:
+    """A gitignore glob, without its marks at the ends, as a regular expression that Java reads."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif pattern[i:] == "**" and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + ".+", i + 2
+        elif c == "*":
+            out, i = out + "[^/]*", i + 1
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and "]" in pattern[i + 2 :]:
+            end = pattern.index("]", i + 2)
+            body = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out, i = out + f"(?!/)[{'^' + body[1:] if body[0] in '!^' else body}]", end + 1
+        else:
+            if c == "\\" and i + 1 < len(pattern):
+                i += 1
+            out, i = out + re.escape(pattern[i]), i + 1
+    return out
+
+
+def ignore_rules(lines: list[str]) -> list[tuple[str, bool, bool]]:
+    """(regular expression of a whole path, whether it keeps, whether it means folders alone) of the lines of an ignore file."""
+    rules = []
+    for line in lines:
+        while line.endswith(" ") and not line.endswith("\\ "):
+            line = line[:-1]
+        if not line or line.startswith("#"):
+            continue
+        keep = line.startswith("!")
+        line = line[1:] if keep else line
+        folder = line.endswith("/")
+        line = line[:-1] if folder else line
+        anchored = "/" in line
+        line = line.removeprefix("/")
+        if line:
+            rules.append(("^" + ("" if anchored else "(?:.*/)?") + glob_regex(line) + "$", keep, folder))
+    return rules
+
+
+def ignore_condition(lines: list[str] | None, rel: Column) -> Column:
+    """Rows to keep.  The lines of an ignore file replace the default names to skip; of the rules that fit a path the last
+    decides, and nothing below an ignored folder is kept."""
+    segments = F.split(rel, "/")
+    hidden = F.exists(segments, lambda p: F.startswith(p, F.lit(".")))
+    if lines is None:
+        return ~(hidden | F.exists(segments, lambda p: p.isin(*text.SKIPPED_NAMES)))
+    rules = ignore_rules(lines)
+
+    def ignored(n: Column) -> Column:
+        path, is_folder, drop = F.array_join(F.slice(segments, F.lit(1), n), "/"), n < F.size(segments), F.lit(False)
+        for regex, keep, folder in rules:
+            hit = path.rlike(regex) & is_folder if folder else path.rlike(regex)
+            drop = F.when(hit, F.lit(not keep)).otherwise(drop)
+        return drop
+
+    return ~(hidden | F.exists(F.sequence(F.lit(1), F.size(segments)), ignored))
 
 
 def _lines(spark: SparkSession, root: str, name: str) -> list[str] | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    """The lines of a small file of settings, or None.  Spark's readers pass over names that begin with a dot."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root, name)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return None
-    rows = spark.read.text(path.toString()).collect()
-    return [x for r in rows if (x := r[0].strip()) and not x.startswith("#")]
+    stream = fs.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
 
 
 def stoplist(spark: SparkSession, roots: list[str]) -> list[str]:
     """The default words and each root's own, in lower case."""
-    return sorted({*STOPWORDS, *(x.lower() for root in roots for x in _lines(spark, root, STOPLIST_FILE) or ())})
+    return sorted({*STOPWORDS, *(x.strip().lower() for root in roots for x in _lines(spark, root, STOPLIST_FILE) or () if x.strip() and not x.strip().startswith("#"))})
 
 
 def load_vault(spark: SparkSession, roots: list[str]) -> DataFrame:
