@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CLASSES, HEAD, DIM, NOISE, ROUNDS = 48, 65_536, 24, 8, 1
+CLASSES, HEAD, DIM, NOISE, ROUNDS = 48, 65_536, 16, 8, 1
 #: Rows of a training step and of a matrix product; tokens that a task counts at once; least steps of a task.
 STEP, PRODUCT, TOGETHER, LEAST_STEPS = 8192, 16_384, 4_000_000, 60
 #: Parameters of one row when copies of the model are averaged.
@@ -76,7 +76,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
 def symbol_words(tokens: int) -> int:
     """Words that are symbols of their own, by the number of training tokens."""
-    return min(HEAD, max(110, int(2 * tokens**0.4)))
+    return min(HEAD, max(110, int(1.5 * tokens**0.4)))
 
 
 def cut(rows: DataFrame, column: str, most: int) -> int:
@@ -247,7 +247,7 @@ def _normalised(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     top = scores.max(1, keepdims=True)
     scores -= top
     got = scores[np.arange(len(chosen)), chosen].astype(np.float64)
-    return got - np.log(np.exp(scores, out=scores).sum(1, dtype=np.float64))
+    return got - np.log(np.exp(scores, out=scores).sum(1))
 
 
 def _pull(scores: np.ndarray, noise: np.ndarray, chosen: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -273,7 +273,10 @@ class Trainer:
     def learn(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
         """Learns from all of these tokens, each distinct triple once with its count."""
         m, s = self.model, self.model.symbols
-        keys, n = np.unique((two * s + one) * s + target, return_counts=True)
+        keys = (two * s + one) * s + target
+        keys.sort()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n, keys = np.diff(np.r_[starts, len(keys)]), keys[starts]
         size = max(STEP, s)
         order = np.random.default_rng(self.steps).permutation(len(keys))
         for _ in range(-(-LEAST_STEPS // -(-len(keys) // size)) if self.steps < LEAST_STEPS else 1):
