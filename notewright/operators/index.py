@@ -96,6 +96,10 @@ class Index:
             rows = rows.join(wanted, ["bucket", "term"], "left_semi")
         return self._living(rows)
 
+    def document_frequency(self) -> DataFrame:
+        """(term, df) of the living notes' tokens, from the postings."""
+        return self._living(self._read("postings")).groupBy("term").agg(F.count("*").alias("df"))
+
     def search(self, query: str, limit: int | None = search.LIMIT) -> DataFrame:
         """(root_ord, rel, score), as ``search.search`` over the living notes gives them."""
         asked, whole = query.lower().split(), query.lower()

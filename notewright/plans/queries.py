@@ -63,6 +63,13 @@ def _search(q):
     return lambda spark, sf_dir: _rounded(document_index(spark, sf_dir).search(q).select("rel", "score"), "score")
 
 
+@query("index_document_frequency", f"""WITH notes AS ({corpora.DOCUMENTS}), t AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> ''))) AS term FROM notes)
+  SELECT term, count(*) AS df FROM t GROUP BY term""")
+def _index_terms(spark, d):
+    """Builds the stored index, where the session hasn't, and counts its postings."""
+    return document_index(spark, d).document_frequency()
+
+
 @query("search_without_index", _search_sql("the idiot tionre"))
 def _search_scan(spark, d):
     return _rounded(search.search(corpora.document_notes(spark, d), "the idiot tionre").select("rel", "score"), "score")
