@@ -632,3 +632,36 @@ def test_pii_against_brute_force(spark):
     assert set(table) == found and len(set(table.values())) == len(table) and not set(table.values()) & {v for _, v in found}
     want = {i: pii.replace(t, PII_KEY, table)[0] for i, t in made}
     assert {r.doc_id: r.text for r in pii.pseudonymise(df, PII_KEY).collect()} == want
+
+
+def test_near_copies_are_whole_on_large_keys(spark, monkeypatch):
+    """Many clusters around one template share keys; the components are those of all pairs at 0.8, found by brute force."""
+    monkeypatch.setattr(near_copies, "SMALL", 4)
+    monkeypatch.setattr(near_copies, "NEAR", 3)
+    monkeypatch.setattr(near_copies, "WIDER", 3)
+    rng = random.Random(77)
+    template = [f"t{i}" for i in range(120)]
+    made = []
+    for cluster in range(25):
+        base = list(template)
+        start = rng.randrange(90)
+        base[start : start + rng.randrange(14, 26)] = [f"c{cluster}x{i}" for i in range(rng.randrange(14, 26))]
+        for _ in range(8):
+            other = list(base)
+            for at in rng.sample(range(len(other)), rng.choice((0, 1, 2, 3))):
+                other[at] = f"own{len(made)}"
+            made.append((len(made), " ".join(other)))
+    sets = [set(near_copies.shingle_set(t.encode()).tolist()) for _, t in made]
+    least = list(range(len(made)))
+    links = [(x, y) for x in range(len(made)) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    for _ in range(len(made)):
+        before = list(least)
+        for x, y in links:
+            least[x] = least[y] = min(least[x], least[y])
+        if before == least:
+            break
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(least)) and 5 < len(set(least)) < 150
+    keys = [near_copies.band_keys(near_copies.shingle_set(t.encode()))[1] for _, t in made]
+    apart = [sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(keys[x], keys[y], strict=True)) for x, y in links]
+    assert max(apart) <= near_copies.APART
