@@ -662,6 +662,6 @@ def test_near_copies_are_whole_on_large_keys(spark, monkeypatch):
             break
     got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(least)) and 5 < len(set(least)) < 150
-    keys = [near_copies.band_keys(near_copies.shingle_set(t.encode()))[1] for _, t in made]
+    keys = [near_copies.wide_sketch(near_copies.shingle_set(t.encode())) for _, t in made]
     apart = [sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(keys[x], keys[y], strict=True)) for x, y in links]
     assert max(apart) <= near_copies.APART
