@@ -6,9 +6,9 @@ together, become lattices of the characters they may stand for; a Viterbi decodi
 restored word, which is scored with the words that stand plainly in the text.
 
 Words and word beginnings are weighed by their log odds in toxic texts against others; a logistic regression on a text's
-highest weights gives the score.  All is fitted on at most SAMPLE labelled rows (those of the least hashes of doc_id) that
-are not held out; texts that are near copies of each other count once, by a minimum hash of their 3-word shingles, and
-the regression sees weights from the other half of the sample.
+highest weights gives the score.  All is fitted on every labelled row that is not held out; texts that are near copies of each
+other count once, by a minimum hash of their 3-word shingles, and the regression, whose sums are made in the tasks, sees weights from the
+other half of the rows.
 
 Null and empty texts get the score of a text without any weighty word.  With no labelled rows of both kinds, every score is 0.
 A document with several labels counts as toxic if one is.  Rows: one for each input row, repeated ones and null ids included.
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .langid import Handle, sample_of
+from .langid import Handle
 
-SAMPLE, FOLDS, TOP, CACHE = 20_000, 2, 3, 50_000
+FOLDS, TOP, CACHE = 2, 3, 50_000
 #: A longer span is decoded in windows of this many characters that overlap by a quarter, whole.
 WINDOW = 256
 #: Letters of the words looked for in what several spelled-out words give together.
@@ -153,30 +153,42 @@ def minimum_hash(text: str) -> int:
 
 def _marking(batches):
     for batch in batches:
-        marks = [minimum_hash(x or "") for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], ["doc_id", "toxic", "text", "mark"])
+        marks = [minimum_hash(x or "") for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], ["toxic", "text", "mark"])
 
 
 def _counting(batches):
     """Rows (kind, key, fold, toxic, n): texts that hold a key, and letter trigrams."""
-    held: Counter = Counter()
+    held: defaultdict[tuple[int, int], Counter] = defaultdict(Counter)
+    texts: Counter = Counter()
+    whole: Counter = Counter()
 
     def out():
-        kinds, keys, folds, toxic = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(folds, pa.int32()), pa.array(toxic, pa.int32()), pa.array(list(held.values()), pa.int64())], ["kind", "key", "fold", "toxic", "n"])
+        grams: Counter = Counter()
+        for w, n in whole.items():
+            for g in char_grams(w):
+                grams[g] += n
+        tables = [*(("w", *k, c) for k, c in held.items()), ("c", 0, 0, grams), *(("n", *k, {"": n}) for k, n in texts.items())]
+        for kind, fold, toxic, table in tables:
+            size = len(table)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * size), pa.array(list(table)), pa.array([fold] * size, pa.int32()), pa.array([toxic] * size, pa.int32()), pa.array(list(table.values()), pa.int64())], ["kind", "key", "fold", "toxic", "n"])
+        for table in (held, texts, whole):
+            table.clear()
 
     for batch in batches:
-        for toxic, text, mark in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for toxic, text, mark in zip(*batch.to_pydict().values(), strict=True):
             words = set(WORDS.findall((text or "").lower()))
             fold = mark % FOLDS
-            held.update(("w", k, fold, toxic) for k in {k for w in words for k in keys_of(w)})
-            held.update(("c", g, 0, 0) for w in words for g in char_grams(w))
-            held["n", "", fold, toxic] += 1
-            if len(held) > 300_000:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+            keys = held[fold, toxic]
+            keys.update(words)
+            for n in PREFIXES:
+                keys.update({f"{w[:n]}*" for w in words if len(w) > n})
+            whole.update(words)
+            texts[fold, toxic] += 1
+        if sum(map(len, held.values())) > 300_000:
+            yield from out()
+    if texts:
+        yield from out()
 
 
 class Model:
@@ -250,6 +262,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def may_weigh(totals, folds, tried: int) -> str:
+    """The condition of ``log_odds`` in SQL, on the columns n<fold><toxic>, with room for rounding."""
+    n1, n0 = (max(1, sum(totals[f, y] for f in folds)) for y in (1, 0))
+    share = n1 / (n1 + n0)
+    k1, k0 = (f"double({' + '.join(f'n{f}{y}' for f in folds)})" for y in (1, 0))
+    gain = f"{k1} * ln({k1} / (({k1} + {k0}) * {share!r}D)) + if({k0} > 0, {k0} * ln({k0} / (({k1} + {k0}) * {1 - share!r}D)), 0D)"
+    return f"{k1} > 0 and {k1} > ({k1} + {k0}) * {share!r}D - 1e-6D and {gain} > {math.log(max(tried, 1)) + 1 - 1e-6!r}D"
+
+
 def log_odds(counts, totals, folds, tried: int) -> dict[str, float]:
     """Weights of the keys that toxic texts of these folds have far oftener than others.
 
@@ -268,52 +289,72 @@ def log_odds(counts, totals, folds, tried: int) -> dict[str, float]:
     return out
 
 
-def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton's method; coefficients of the weights aren't negative."""
-    x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
+def _steps(w: np.ndarray):
+    """A row for a task: the sums of the gradient and of the Hessian at these coefficients."""
+
+    def run(batches):
+        g, h = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for batch in batches:
+            y, *x = (c.to_numpy() for c in batch.columns)
+            x = np.c_[np.ones(len(y)), np.array(x).T]
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g += x.T @ (y - p)
+            h += (x * (p * (1 - p))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64())), pa.array([h.ravel().tolist()], pa.list_(pa.float64()))], ["g", "h"])
+
+    return run
+
+
+def regression(rows: DataFrame) -> np.ndarray:
+    """Logistic regression with a small ridge, by Newton's method, of the rows' first column on the others; coefficients of the weights aren't negative."""
+    w = np.zeros(len(rows.columns))
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - 0.1 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w = w + np.linalg.solve(h, g)
+        sums = rows.mapInArrow(_steps(w), "g array<double>, h array<double>").collect()
+        g = np.sum([r.g for r in sums], axis=0) - 0.1 * w
+        h = np.sum([r.h for r in sums], axis=0).reshape(len(w), -1) + 0.1 * np.eye(len(w))
+        last, w = w, w + np.linalg.solve(h, g)
         w[1:] = np.maximum(w[1:], 0)
+        if np.abs(w - last).max() < 1e-9:
+            break
     return w
 
 
 def _tops(handle):
     def run(batches):
-        models = pickle.loads(handle.value)
+        models = common.worker_held(("toxicity-apart", handle.id), lambda: pickle.loads(handle.value))
         for batch in batches:
-            rows = [[y, *models[mark % FOLDS].top(text)] for y, text, mark in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([float(v) for v in c]) for c in zip(*rows, strict=True)], ["y", "a", "b", "c"]) if rows else None
+            rows = [[y, *models[mark % FOLDS].top(text)] for y, text, mark in zip(*batch.to_pydict().values(), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([float(v) for v in c]) for c in zip(*rows, strict=True)], ["y", "a", "b", "c"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: training rows; labels: (doc_id, toxic)."""
     spark = docs.sparkSession
     common.prepare(spark)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").join(marked, "doc_id").select("doc_id", "toxic", "text")
-    sample = common.materialise(sample_of(rows, most).mapInArrow(_marking, "doc_id long, toxic int, text string, mark long"), "toxicity-sample")
-    once = sample.dropDuplicates(["mark", "toxic"])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").join(marked, "doc_id").select("toxic", "text")
+    rows = rows.mapInArrow(_marking, "toxic int, text string, mark long")
+    once = common.materialise(rows.groupBy("mark", "toxic").agg(F.min("text").alias("text")).select("toxic", "text", "mark"), "toxicity-rows")
     found = once.mapInArrow(_counting, "kind string, key string, fold int, toxic int, n long").groupBy("kind", "key", "fold", "toxic").agg(F.sum("n").alias("n"))
     found = common.materialise(found, "toxicity-counts")
-    keys = found.where("kind = 'w'").groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"))
-    tried = keys.where("n1 + n0 >= 3").count()
-    weighty = keys.where("n1 >= 3 and n1 * 4 > n0").select("key")
-    counts: dict = defaultdict(dict)
-    for key, fold, toxic, n in found.where("kind = 'w'").join(weighty, "key").select("key", "fold", "toxic", "n").collect():
-        counts[key][fold, toxic] = n
     totals: Counter = Counter({(r[0], r[1]): r[2] for r in found.where("kind = 'n'").select("fold", "toxic", "n").collect()})
     chars = CharModel({r[0]: r[1] for r in found.where("kind = 'c' and n >= 2").select("key", "n").collect()})
     if not all(any(totals[f, y] for f in range(FOLDS)) for y in (0, 1)):
         return Model({}, chars, None)
-    apart = [Model(log_odds(counts, totals, [f for f in range(FOLDS) if f != own], tried), chars, None) for own in range(FOLDS)]
-    got = once.mapInArrow(_tops(Handle(spark, pickle.dumps(apart))), "y double, a double, b double, c double").toPandas().to_numpy()
-    return Model(log_odds(counts, totals, range(FOLDS), tried), chars, regression(got[:, 1:], got[:, 0]))
+    sums = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}") for f in range(FOLDS) for y in (0, 1)]
+    keys = common.materialise(found.where("kind = 'w'").groupBy("key").agg(*sums), "toxicity-keys")
+    k1, k0 = (" + ".join(f"n{f}{y}" for f in range(FOLDS)) for y in (1, 0))
+    tried = keys.where(f"{k1} + {k0} >= 3").count()
+    # only keys that may have a weight in one of the models come to the driver, which decides
+    groups = [range(FOLDS), *([f for f in range(FOLDS) if f != own] for own in range(FOLDS))]
+    weighty = keys.where(f"{k1} >= 3 and ({k1}) * 4 > {k0}").where(" or ".join(f"({may_weigh(totals, folds, tried)})" for folds in groups))
+    counts = {r[0]: {(f, y): r[f"n{f}{y}"] for f in range(FOLDS) for y in (0, 1)} for r in weighty.collect()}
+    whole, *apart = (Model(log_odds(counts, totals, folds, tried), chars, None) for folds in groups)
+    got = common.materialise(once.mapInArrow(_tops(Handle(spark, pickle.dumps(apart))), "y double, a double, b double, c double"), "toxicity-weights")
+    return Model(whole.weights, chars, regression(got))
 
 
 def _scoring(handle, name: str):

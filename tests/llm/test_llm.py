@@ -234,6 +234,21 @@ def test_toxicity_held_out_rows(spark):
     assert sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that only a few of many labelled rows have, beyond the 20 000 of the least hashes, gets its weight."""
+    ids = spark.range(27000).withColumnRenamed("id", "doc_id").where(common.remainder("doc_id", 5) != 0)
+    first = {r.doc_id for r in langid.sample_of(ids, 20_000).collect()}
+    rest = [r.doc_id for r in ids.collect() if r.doc_id not in first]
+    late, rng = set(rest[:200]), random.Random(3)
+    early = set(sorted(first)[:200])
+    docs = [(i, " ".join([rng.choice(WORDS) for _ in range(6)] + ["grumblewort"] * (i in late) + ["idiot"] * (i in early))) for i in (*sorted(first), *rest)]
+    asked = [(100_000, "you grumblewort there"), (100_001, "you gr umbl ewort there"), (100_002, "you idiot there"), (100_003, " ".join(WORDS[:9]))]
+    df = spark.createDataFrame([*docs, *asked], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in late or i in early)) for i, _ in docs], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(df, labels).where("doc_id >= 100000").collect()}
+    assert len(rest) > 1000 and [got[i] for i, _ in asked] == [1, 1, 1, 0]
+
+
 def test_toxicity_decodes_long_spans_whole():
     chars = toxicity.CharModel({g: 5 for w in ("awful", "nice", "day") for g in toxicity.char_grams(w)})
     model = toxicity.Model({"awful": 3.0}, chars, np.array([-4.0, 2.0, 1.0, 1.0]))
