@@ -91,10 +91,10 @@ def spread(rows: DataFrame, each: int) -> DataFrame:
     return rows.repartition(max(1, -(-rows.count() // each)), "fp")
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, components=common.components) -> DataFrame:
     """Star links (a, b) between fingerprints whose components are those of all pairs within three bits.
 
-    nodes: distinct ``fp``.
+    nodes: distinct ``fp``; components: what finds (node, component) of links.
     """
     fp = F.col("fp")
     nodes = spread(nodes, 32 * SPREAD)
@@ -102,7 +102,7 @@ def links(nodes: DataFrame) -> DataFrame:
     ball = [0, *_flips(range(64))]
     met = nodes.select("fp", _exploded(fp, ball).alias("v")).groupBy("v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     near = common.materialise(met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct(), "simhash-near")
-    part = spread(nodes.join(common.components(near, "simhash-part"), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part")), 32 * SPREAD)
+    part = spread(nodes.join(components(near, "simhash-part"), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part")), 32 * SPREAD)
     part = common.materialise(part, "simhash-parts")
     # 2: keys that leave a field out, and meet between components
     keys = None

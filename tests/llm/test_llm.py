@@ -546,6 +546,33 @@ def test_pipeline_drops_near_copies_beyond_three_bits(spark, tmp_path):
     assert far > 20 and kept == {d for d in least if least[d] == d}
 
 
+def test_pipeline_takes_links_of_ball_hashing(spark, tmp_path, monkeypatch):
+    """Without a minimum hash the stage still drops what operator 5 links, once decided on whole sets."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "band_keys", lambda shingles: [])
+    rng = random.Random(21)
+    made, linked = [], set()
+    for i in range(30):
+        words = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(300)]
+        texts = " ".join(words), " ".join([*words[:-1], "other"])
+        made += [(i, texts[0]), (100 + i, texts[1])]
+        if (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 3:
+            linked.add(100 + i)
+    made += [(200, "x " * 10 + "p q r"), (201, "x " * 10 + "s t u")]  # one fingerprint, similar by less than 0.8
+    assert len({simhash.fingerprint(t.encode()) for _, t in made[-2:]}) == 1 and len(linked) > 10
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(made, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert kept == {i for i, _ in made} - linked
+
+
+def test_near_copies_components_both_ways(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(50)], "a long, b long")
+    own = {tuple(r) for r in near_copies.parts_of(edges, "t").collect()}
+    monkeypatch.setattr(near_copies, "LINKS", 0)
+    assert own == {tuple(r) for r in near_copies.parts_of(edges, "t").collect()} and len({c for _, c in own}) > 1
+
+
 def test_near_copies_of_one_text_meet_it_on_large_keys(spark):
     words = [f"w{i}" for i in range(100)]
     made = [(i, " ".join(f"x{i}" if k in (i % 90, (7 * i + 40) % 90) else w for k, w in enumerate(words))) for i in range(1, 200)] + [(0, " ".join(words))]
