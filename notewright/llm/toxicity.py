@@ -33,6 +33,8 @@ from . import common
 from .langid import Handle
 
 FOLDS, TOP, CACHE = 2, 3, 50_000
+#: Bits of a piece of a bitmap (the most that Spark's aggregate makes), and of the labels' bitmap: for a label, and at most.
+PIECE, EACH, MOST = 1 << 15, 16, 1 << 27
 #: A longer span is decoded in windows of this many characters that overlap by a quarter, whole.
 WINDOW = 256
 #: Letters of the words looked for in what several spelled-out words give together.
@@ -154,7 +156,36 @@ def minimum_hash(text: str) -> int:
 def _marking(batches):
     for batch in batches:
         marks = [minimum_hash(x or "") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], ["toxic", "text", "mark"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], ["doc_id", "text", "mark"])
+
+
+def has_bit(bits: str, place: str) -> str:
+    """Whether a place's piece of a bitmap has its bit, in SQL."""
+    return f"getbit(int(conv(hex(substring({bits}, int({place} % {PIECE} div 8) + 1, 1)), 16, 10)), int({place} % 8)) = 1"
+
+
+def likely(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) that have a label, and a few others: a broadcast bitmap of the labels' hashed ids drops most rows without one, whose texts no join has to shuffle."""
+    if not {dict(x.dtypes)["doc_id"] for x in (rows, marked)} <= {"tinyint", "smallint", "int", "bigint"}:
+        return rows  # ids that are equal may have other hashes
+    size = min(MOST, PIECE * (1 + marked.count() * EACH // PIECE))
+    place = F.expr(f"pmod(xxhash64(bigint(doc_id)), {size}L)").alias("place")
+    bits = marked.select(place).groupBy(F.expr(f"place div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg(place % {PIECE})").alias("bits"))
+    placed = rows.select("*", place).withColumn("piece", F.expr(f"place div {PIECE}"))
+    return placed.join(F.broadcast(bits), "piece").where(has_bit("bits", "place")).select(rows.columns)
+
+
+def distinct_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, text, mark) of the labelled rows, one for each mark and kind, from a stored table.  Only ids and hashes are shuffled, no text: what is kept of the stored rows goes back to them as bitmaps."""
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = likely(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null"), marked)
+    rows = rows.mapInArrow(_marking, f"doc_id {dict(rows.dtypes)['doc_id']}, text string, mark long")
+    stored = common.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-texts")
+    first = stored.select("doc_id", "mark", "row", F.xxhash64("text").alias("hash")).join(marked, "doc_id").groupBy("mark", "toxic").agg(F.min(F.struct("hash", "row")).alias("first"))
+    bits = [F.expr(f"bitmap_construct_agg(if(toxic = {y}, first.row % {PIECE}, null))").alias(f"bits{y}") for y in (0, 1)]
+    kept = common.materialise(first.groupBy(F.expr(f"first.row div {PIECE}").alias("piece")).agg(*bits), "toxicity-rows")
+    both = stored.withColumn("piece", F.expr(f"row div {PIECE}")).join(F.broadcast(kept), "piece").select(*(F.expr(has_bit(f"bits{y}", "row")).alias(f"is{y}") for y in (0, 1)), "text", "mark")
+    return both.where("is0 or is1").select(F.col("is1").cast("int").alias("toxic"), "text", "mark")
 
 
 def _counting(batches):
@@ -334,10 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: training rows; labels: (doc_id, toxic)."""
     spark = docs.sparkSession
     common.prepare(spark)
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").join(marked, "doc_id").select("toxic", "text")
-    rows = rows.mapInArrow(_marking, "toxic int, text string, mark long")
-    once = common.materialise(rows.groupBy("mark", "toxic").agg(F.min("text").alias("text")).select("toxic", "text", "mark"), "toxicity-rows")
+    once = distinct_rows(docs, labels)
     found = once.mapInArrow(_counting, "kind string, key string, fold int, toxic int, n long").groupBy("kind", "key", "fold", "toxic").agg(F.sum("n").alias("n"))
     found = common.materialise(found, "toxicity-counts")
     totals: Counter = Counter({(r[0], r[1]): r[2] for r in found.where("kind = 'n'").select("fold", "toxic", "n").collect()})
@@ -372,7 +400,9 @@ def annotate(docs: DataFrame, labels: DataFrame, fold: int = 5, names: tuple[str
     spark = docs.sparkSession
     common.must_be_free(docs, names)
     held_out = F.coalesce(common.remainder("doc_id", fold) == 0, F.lit(False))
+    start = common.written()
     model = Handle(spark, pickle.dumps(fit(docs.where(~held_out), labels.where(~held_out))))
+    common.drop_since(start)  # the model has all that is read again
     rows = docs.withColumn(common.free_name(docs, "scored_text"), F.col("text").cast("string"))
     schema = docs.withColumn(names[0], F.lit(0.0)).schema
     return rows.mapInArrow(_scoring(model, names[0]), schema).withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))

@@ -249,6 +249,41 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert len(rest) > 1000 and [got[i] for i, _ in asked] == [1, 1, 1, 0]
 
 
+def test_toxicity_shuffles_no_text(spark):
+    """Neither unlabelled rows' texts nor labelled ones' pass through a shuffle, near copies count once, and no table stays."""
+    rng = random.Random(6)
+    docs = [(i, rng.randbytes(1500).hex() if i % 3 else " ".join(rng.choice(WORDS) for _ in range(30)) + " idiot" * (i % 2)) for i in range(3000)]
+    docs += [docs[3], (3, docs[9][1] + " and more")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 3000, 3)] + [(3, 0), (9, 1), (9, None), (None, 1), (9000, 1)], "doc_id int, toxic int")
+    df = common.materialise(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), "t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+        start, tables = written(), common.written()
+        model = toxicity.annotate(df, labels)
+        assert written() - start < 0.05 * sum(len(t) for _, t in docs) and common.written() == tables
+        got = Counter((r.toxic, r.text) for r in toxicity.distinct_rows(df, labels).collect())
+        as_text = toxicity.distinct_rows(df.withColumn("doc_id", F.col("doc_id").cast("string")), labels.withColumn("doc_id", F.col("doc_id").cast("string")))
+        assert got == Counter((r.toxic, r.text) for r in as_text.collect())
+        assert model.where("doc_id % 3 = 0 and predicted <> doc_id % 2").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kinds = {(d % 2, t) for d, t in docs if d % 3 == 0}
+    assert set(got) <= kinds and Counter((y, toxicity.minimum_hash(t)) for y, t in got.elements()) == Counter({(y, toxicity.minimum_hash(t)) for y, t in kinds})
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import re
+    import time
+
+    files = lambda: {f for f in re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" "))}
+    before, end = files(), time.time() + 20
+    stored = common.materialise(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and stored.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_toxicity_decodes_long_spans_whole():
     chars = toxicity.CharModel({g: 5 for w in ("awful", "nice", "day") for g in toxicity.char_grams(w)})
     model = toxicity.Model({"awful": 3.0}, chars, np.array([-4.0, 2.0, 1.0, 1.0]))
