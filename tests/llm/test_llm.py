@@ -581,6 +581,15 @@ def test_pipeline_drops_near_copies_beyond_three_bits(spark, tmp_path):
     assert far > 20 and kept == {d for d in least if least[d] == d}
 
 
+def test_pipeline_keeps_no_table_but_the_groups(spark, tmp_path):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(20)], "doc_id long, text string")
+    start = common.written()
+    kept = corpus_pipeline.drop_near_copies(spark, df, str(tmp_path))
+    assert common.written() - start == 1 and sorted(r.doc_id for r in kept.collect()) == list(range(0, 20, 2))
+
+
 def test_pipeline_takes_links_of_ball_hashing(spark, tmp_path, monkeypatch):
     """Without a minimum hash the stage still drops what operator 5 links, once decided on whole sets."""
     import corpus_pipeline
