@@ -350,6 +350,16 @@ def test_walks(spark):
     assert {r.stem for r in edges.orphans(n, links, "lint").collect()} == {"isle"}
 
 
+def test_shortest_path_query_without_a_path(spark, tmp_path):
+    from notewright.plans.queries import QUERIES
+
+    for k, html in enumerate(('<a href="x">', '<a href="page 0">')):
+        pages = spark.createDataFrame([(0, "u0", '<a href="x">'), (48, "u48", html.replace("x", "y"))], "page_id long, url string, html string")
+        pages.write.parquet(f"{tmp_path}/{k}/pages.parquet")
+        got = [r.path for r in QUERIES["shortest_path"](spark, f"{tmp_path}/{k}").collect()]
+        assert got == ([None], [["page 0", "page 48"]])[k]
+
+
 def test_large_graph_ways_agree(spark, monkeypatch):
     rows = [(f"n{i}", f"n{(i * 7 + k) % 41}") for i in range(40) for k in (1, 5)]
     links = spark.createDataFrame(rows, "src string, dst string")
