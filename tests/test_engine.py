@@ -160,6 +160,26 @@ def test_index_reads_few_files(spark):
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters")[1][:80] and "PushedFilters: [In(term" in plan
 
 
+def test_index_shuffles_no_posting_for_many_tokens(spark, monkeypatch):
+    from notewright.operators import index as module
+
+    files = garden()
+    index = Index(spark, shared.fresh_path(spark, "t")).add(notes(spark, files))
+    monkeypatch.setattr(module, "FEW", 1)
+    found = index.postings(["s"], ["sage"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 1
+    assert "Exchange" not in index.document_frequency()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(module, "SLICE", 1)
+    many = Index(spark, shared.fresh_path(spark, "t")).add(notes(spark, files))
+    rows = lambda x: sorted((r.term, r.tf, r.dl, r.bucket) for r in x._read("postings").collect())
+    assert rows(many) == rows(index) and sorted(many.document_frequency().collect()) == sorted(search.document_frequency(notes(spark, files)).collect())
+
+
+def test_words_counted_within_a_row(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "B"],), ([],), (["x"],)], "w array<string>")
+    assert [[tuple(x) for x in r[0]] for r in df.select(text.counted(F.col("w"))).collect()] == [[("B", 1), ("a", 1), ("b", 2)], [], [("x", 1)]]
+
+
 def test_snippets_and_trigrams(spark):
     n = spark.createDataFrame([(0, "a.md", "a", "mint\nleaf"), (1, "a.md", "a", "other mint text")], "root_ord int, rel string, stem string, content string")
     hits = search.with_snippets(search.search(n, "mint"), n, "mint").collect()
