@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from ..functions import text
 
 BUCKETS = 32
+#: Characters of texts, stored and new, that a task of a merge takes.
+SHARE = 64 << 20
 SCHEMA = T.StructType([T.StructField("rel", T.StringType()), T.StructField("stem", T.StringType()), T.StructField("content", T.StringType()), T.StructField("version", T.LongType()), T.StructField("deleted", T.BooleanType())])
 
 
@@ -21,9 +23,10 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored and new rows, the newest of each rel; tombstones stay, so that late older versions don't return."""
-    return newest(stored.unionByName(batch))
+def merge(stored: DataFrame, batch: DataFrame, parts: int | None = None) -> DataFrame:
+    """Stored and new rows, the newest of each rel; tombstones stay, so that late older versions don't return.  parts: tasks, where the session's number is not to hold."""
+    rows = stored.unionByName(batch)
+    return newest(rows.repartition(parts, "rel") if parts else rows)
 
 
 class Maintainer:
@@ -76,9 +79,15 @@ class Maintainer:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         placed = F.pmod(F.hash("rel"), F.lit(BUCKETS)).alias("bucket")
         batch = batch.select([f.name for f in SCHEMA])
-        touched = [r[0] for r in batch.select(placed).distinct().collect()]  # at most BUCKETS
+        sizes = lambda rows: rows.groupBy(placed).agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).collect()  # noqa: E731 - at most BUCKETS rows
+        new = sizes(batch)
+        touched = [r[0] for r in new]
+        before = self.rows(batch_id, touched)
+        parts = 1 + sum(r[1] for r in [*new, *sizes(before)]) // SHARE
+        # a small merge is left to the session's partitions
+        fixed = parts if parts > int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")) else None
         base = f"{self.table}/v{batch_id}"
-        merge(self.rows(batch_id, touched), batch).select("*", placed).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/rows")
+        merge(before, batch, fixed).select("*", placed).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/rows")
         stored = self.spark.read.schema(T.StructType([*SCHEMA, T.StructField("bucket", T.IntegerType())])).parquet(f"{base}/rows")
         living = stored.where("not coalesce(deleted, false)")
         found = living.select("bucket", F.col("stem").alias("src"), F.posexplode(text.wikilinks("content")).alias("pos", "dst"))

@@ -505,6 +505,20 @@ def test_stream_keeps_the_newest(spark, tmp_path, monkeypatch):
     assert {r.term: r.df for r in keeper.document_frequency().collect()} == {"two": 1}
 
 
+def test_stream_tasks_take_a_bounded_share(spark, tmp_path, monkeypatch):
+    from notewright.plans import queries
+
+    made = []
+    monkeypatch.setattr(queries, "fresh_path", lambda *_: made.append(f"{tmp_path}/s{len(made)}") or made[-1])
+    docs = spark.createDataFrame([(i, f"sage mint{i % 7} rue", "a") for i in range(90)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/d/documents.parquet")
+    monkeypatch.setattr(queries, "BATCH_FILE", 200, raising=False)
+    monkeypatch.setattr(maintain, "SHARE", 100, raising=False)
+    got = {r.term: r.df for r in queries.QUERIES["stream_document_frequency"](spark, f"{tmp_path}/d").collect()}
+    assert got["sage"] == got["rue"] == 90 and got["mint0"] == 13
+    assert len(list((tmp_path / "s0/in").glob("*.parquet"))) > 6 and len(list((tmp_path / "s0/table").glob("v*"))) == 3
+
+
 def test_stream_equals_the_batch(spark, tmp_path):
     rng, keeper = random.Random(9), maintain.Maintainer(spark, str(tmp_path / "t"))
     state = {}
