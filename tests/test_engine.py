@@ -390,6 +390,18 @@ def test_large_graph_ways_agree(spark, monkeypatch):
     assert (near(graph.pagerank(n, links, 12)), near(graph.betweenness(adj))) == want
 
 
+def test_rounds_broadcast_nothing_and_coded_betweenness_is_used(spark, monkeypatch):
+    rows = [(f"n{i}", f"n{(i * 7 + k) % 41}") for i in range(40) for k in (1, 5)]
+    links = spark.createDataFrame(rows, "src string, dst string")
+    monkeypatch.setattr(graph, "small", lambda edges, most=0: False)
+    plan = graph.pagerank(notes(spark, {"n0.md": ""}), links, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    monkeypatch.setattr(graph, "small", lambda edges, most=200_000: most > 200_000)  # as a graph of more edges than SMALL
+    monkeypatch.setattr(graph, "_betweenness_joins", None)
+    got = {r[0]: r[1] for r in graph.betweenness(edges.undirected(links)).collect()}
+    assert len(got) == 41 and max(got.values()) == 1.0
+
+
 def test_sampled_sources_and_places(spark, monkeypatch):
     monkeypatch.setattr(graph, "EXACT_UP_TO", 10)
     monkeypatch.setattr(graph, "SAMPLES", 5)
