@@ -6,7 +6,9 @@ kernel; which titles a text may mention is found before by a join on the titles'
 
 from __future__ import annotations
 
+import _sre
 import re
+from re._casefix import _EXTRA_CASES
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,21 @@ from ..functions import text
 _LINK = re.compile(text.WIKILINK)
 #: What is never linked within, each looked for by itself: fences, inline code, addresses, links (fixed values).
 _ZONES = (re.compile(r"^```[^\n]*\n.*?^```", re.M | re.S), re.compile(r"`[^`]+`"), re.compile(r"https?://\S+"), re.compile(r"\[\[[^\]]+\]\]"))
+#: Bodies and names that may make a zone, or change one when a link is put in.
+_ZONED, _BRACKETS, _UNSAFE = re.compile(r"[\[\]`]|://"), re.compile(r"[\[\]]"), re.compile(r"[\[\]`|:/\n]")
+
+
+class _Cases(dict):
+    """One letter for all that a pattern without regard to case takes for equal, each in its place."""
+
+    def __missing__(self, c: int) -> int:
+        low = _sre.unicode_tolower(c)
+        self[c] = got = min(low, *_EXTRA_CASES.get(low, (low,)))
+        return got
+
+
+_CASES = _Cases()
+_ASCII = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _FRONT = re.compile(r"---\n.*?\n---\n", re.S)
 
 
@@ -35,21 +52,59 @@ def auto_link(content: str, rel: str, titles: list[tuple[str, str, str]], stopli
     front = _FRONT.match(content)
     head, body = (front.group(), content[front.end() :]) if front else ("", content)
     added: list[str] = []
+    if not _ZONED.search(body) and not any(_BRACKETS.search(term) or _UNSAFE.search(name) for _, term, name in fit):
+        return head + _linked(body, fit, added), added
+    folded = body.translate(_CASES)
     for _, term, name in fit:
-        if name in added or f"[[{name}]]" in body or f"[[{name}|" in body:
+        if term.translate(_CASES) not in folded or name in added or f"[[{name}]]" in body or f"[[{name}|" in body:
             continue
         zones = [m.span() for zone in _ZONES for m in zone.finditer(body)]
         for m in re.finditer(r"\b" + re.escape(term) + r"\b", body, re.I):
             if all(m.end() <= a or m.start() >= b for a, b in zones):
-                body = body[: m.start()] + (f"[[{name}]]" if text_equal(term, name) else f"[[{name}|{m.group()}]]") + body[m.end() :]
+                body = body[: m.start()] + _link(term, name, m.group()) + body[m.end() :]
+                folded = body.translate(_CASES)
                 added.append(name)
                 break
     return head + body, added
 
 
+def _link(term: str, name: str, met: str) -> str:
+    return f"[[{name}]]" if text_equal(term, name) else f"[[{name}|{met}]]"
+
+
+def _linked(body: str, fit: list[tuple[int, str, str]], added: list[str]) -> str:
+    """The fold over a body without zones of its own: places are those of the body as it was, and what is linked is blotted out by signs that no term holds."""
+    folded = body.translate(_CASES)
+    done: list[tuple[int, int, str]] = []
+    names: set[str] = set()
+    for _, term, name in fit:
+        if name in names:
+            continue
+        key = term.translate(_CASES)
+        first, last = _is_word(term[0]), _is_word(term[-1])
+        at = folded.find(key)
+        while at >= 0:
+            end = at + len(key)
+            if (at > 0 and _is_word(folded[at - 1])) != first and (end < len(folded) and _is_word(folded[end])) != last:
+                folded = folded[:at] + "[" * len(key) + folded[end:]
+                done.append((at, end, _link(term, name, body[at:end])))
+                names.add(name)
+                added.append(name)
+                break
+            at = folded.find(key, at + 1)
+    out, last_end = [], 0
+    for at, end, link in sorted(done):
+        out += [body[last_end:at], link]
+        last_end = end
+    return "".join(out) + body[last_end:]
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def text_equal(a: str, b: str) -> bool:
-    fold = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
-    return fold(a) == fold(b)
+    return a.translate(_ASCII) == b.translate(_ASCII)
 
 
 def suggest(notes: DataFrame, titles: DataFrame, stoplist=()) -> DataFrame:

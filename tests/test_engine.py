@@ -207,6 +207,17 @@ def test_auto_link():
     assert autolink.auto_link("a ox", "n.md", [("ox", "ox", "wiki/ox.md"), ("ash", "ash", "raw/ash.md")]) == ("a ox", [])
 
 
+def test_auto_link_of_plain_texts_compiles_no_pattern(monkeypatch):
+    titles = [("sage", "Sage", "a.md"), ("ſAGE tea", "Sage tea", "b.md"), ("mint,rue", "Both", "c.md"), ("+rue", "Plus", "d.md"), ("kelvin", "Kelvin", "e.md"), ("rue", "Rue", "f.md")]
+    texts = ["Sage tea, sage; sages", "mint,rue rue x+rue", "\u212aelvin \u212aelvin_ RUE", "rue mint,rue mint,ruea", ""]
+    want = [autolink.auto_link(x, "n.md", titles) for x in texts]
+    with monkeypatch.context() as m:
+        m.setattr(autolink, "_ZONED", autolink.re.compile(""))  # every text by patterns
+        assert [autolink.auto_link(x, "n.md", titles) for x in texts] == want
+    monkeypatch.setattr(autolink.re, "finditer", None)
+    assert [autolink.auto_link(x, "n.md", titles) for x in texts] == want and want[0][1] == ["Sage tea", "Sage"]
+
+
 def test_suggest_is_auto_link_over_all_titles(spark):
     rng = random.Random(11)
     parts = ["sage", "Sage", "basil", "BASIL", "thyme.", "(mint)", "ſage", "Épée", "épée", "İris", "x+++y", "+++", "a_b", "dill-weed", "`rue`", "rue", "[[sage]]", "cafe\u0301", "cafe", "½cup", "ß", "日本", "K", "kelvin", "https://a.b/rue", "\n", "```\n"]
