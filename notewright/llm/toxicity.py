@@ -19,10 +19,11 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import sys
 import unicodedata
 from collections import Counter, defaultdict
-from itertools import islice
-from operator import add
+from functools import cache
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,9 @@ MIXED = re.compile(rf"(?=\S*[^\W\d_])(?:\S*[^\W\d_][\d{SIGNS}*._-]+[^\W\d_]\S*|[
 REPEATED, DOUBLED = re.compile(r"([^\W\d_])\1\1"), re.compile(r"([^\W\d_])\1+")
 #: Three or more single characters with white space or signs between; what may stand between is none of the characters.
 SPELLED = re.compile(rf"(?<!\w)(?:(?:[^\W_]|[{SIGNS}])[\s.,_*~/'\"-]{{1,5}}){{2,}}(?:[^\W_]|[{SIGNS}])(?!\w)")
+#: Bits of a character's kind, and the characters of each: the classes of the patterns above.
+LETTER, ALNUM, BEFORE, AFTER, SPACE, ALONE, BETWEEN = (1 << i for i in range(7))
+CLASSES = {LETTER: r"[^\W\d_]", ALNUM: r"[^\W_]", BEFORE: rf"[\d{SIGNS}*._-]", AFTER: r"[\d$@!|]", SPACE: r"\s", ALONE: rf"(?:[^\W_]|[{SIGNS}])", BETWEEN: r"[\s.,_*~/'\"-]"}
 
 
 class CharModel:
@@ -117,10 +121,64 @@ def windows(span: str) -> list[str]:
     return [span] if len(span) <= WINDOW else [span[i : i + WINDOW] for i in range(0, len(span) - WINDOW // 4, step)]
 
 
-def disguised(text: str) -> set[str]:
+@cache
+def kinds() -> np.ndarray:
+    """Every character's kind."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    table = np.zeros(len(every), np.uint8)
+    for kind, characters in CLASSES.items():
+        for m in re.finditer(f"{characters}+", every):
+            table[m.start() : m.end()] |= kind
+    return table
+
+
+class Reading:
+    """A lower-case text, between spaces, as arrays of its characters and of their kinds: words and candidates for the patterns are found without trying these everywhere."""
+
+    def __init__(self, text: str):
+        self.text, self.narrow = f" {text}  ", text.isascii()
+        self.chars = np.frombuffer(self.text.encode(), np.uint8) if self.narrow else np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.kinds = kinds()[self.chars]
+        self.letter = self.kinds & LETTER != 0
+        self.same = self.letter[1:] & (self.chars[1:] == self.chars[:-1])
+        self.spaced = np.where(self.letter, self.chars, self.chars.dtype.type(32))
+
+    def split(self, spaced: np.ndarray) -> list[str]:
+        data = spaced.tobytes()
+        return (data.decode() if self.narrow else data.decode("utf-32-le", "surrogatepass")).split()
+
+    def words(self) -> list[str]:
+        """What WORDS finds."""
+        return self.split(self.spaced)
+
+    def single(self) -> list[str]:
+        """The words with doubled letters taken once."""
+        return self.split(self.spaced[1:][~self.same])
+
+    def spelled(self) -> bool:
+        """Whether SPELLED may match: its second and third character stand alone with at most five others between."""
+        k = self.kinds
+        between = k & BETWEEN != 0
+        alone = np.flatnonzero((k[1:-1] & ALONE != 0) & between[:-2] & (k[2:] & ALNUM == 0)) + 1
+        return bool((between[alone[:-1] + 1] & (np.diff(alone) <= 6)).any())
+
+    def tokens(self) -> set[str]:
+        """Tokens that MIXED or REPEATED may match: all that have a letter beside a digit or sign, or three times over."""
+        here, after = self.kinds[:-1], self.kinds[1:]
+        at = (here & BEFORE != 0) & self.letter[1:] | self.letter[:-1] & (after & AFTER != 0)
+        at[:-1] |= self.same[:-1] & self.same[1:]
+        places = np.flatnonzero(at)
+        if not len(places):
+            return set()
+        edges = np.flatnonzero(self.kinds & SPACE)
+        ends = np.array(sorted(set(np.searchsorted(edges, places).tolist())))
+        return {self.text[i + 1 : j] for i, j in zip(edges[ends - 1].tolist(), edges[ends].tolist(), strict=True)}
+
+
+def disguised(reading: Reading) -> set[str]:
     """Distinct spans of a lower-case text that may hide a word."""
-    spans = {m[0] for m in SPELLED.finditer(text)}
-    for token in set(text.split()):
+    spans = {m[0] for m in SPELLED.finditer(reading.text)} if reading.spelled() else set()
+    for token in reading.tokens():
         if not token.isalpha() and MIXED.match(token) or REPEATED.search(token):
             spans.add(token.strip(".,;:?\"()"))
     return spans
@@ -150,7 +208,8 @@ def minimum_hash(text: str) -> int:
     import xxhash
 
     words = text.lower().split()
-    return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1
+    threes = map(" ".join, zip(words, islice(words, 1, None), islice(words, 2, None), strict=False)) if len(words) > 2 else [" ".join(words)]
+    return min(map(xxhash.xxh64_intdigest, threes)) >> 1
 
 
 def _marking(batches):
@@ -190,7 +249,7 @@ def distinct_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _counting(batches):
     """Rows (kind, key, fold, toxic, n): texts that hold a key, and letter trigrams."""
-    held: defaultdict[tuple[int, int], Counter] = defaultdict(Counter)
+    held: defaultdict[tuple[int, int, str], Counter] = defaultdict(Counter)  # by fold, kind of text, and what its keys end in
     texts: Counter = Counter()
     whole: Counter = Counter()
 
@@ -199,21 +258,22 @@ def _counting(batches):
         for w, n in whole.items():
             for g in char_grams(w):
                 grams[g] += n
-        tables = [*(("w", *k, c) for k, c in held.items()), ("c", 0, 0, grams), *(("n", *k, {"": n}) for k, n in texts.items())]
-        for kind, fold, toxic, table in tables:
+        tables = [*(("w", *k, c) for k, c in held.items()), ("c", 0, 0, "", grams), *(("n", *k, "", {"": n}) for k, n in texts.items())]
+        for kind, fold, toxic, end, table in tables:
             size = len(table)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * size), pa.array(list(table)), pa.array([fold] * size, pa.int32()), pa.array([toxic] * size, pa.int32()), pa.array(list(table.values()), pa.int64())], ["kind", "key", "fold", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * size), pa.array([key + end for key in table] if end else list(table)), pa.array([fold] * size, pa.int32()), pa.array([toxic] * size, pa.int32()), pa.array(list(table.values()), pa.int64())], ["kind", "key", "fold", "toxic", "n"])
         for table in (held, texts, whole):
             table.clear()
 
     for batch in batches:
         for toxic, text, mark in zip(*batch.to_pydict().values(), strict=True):
-            words = set(WORDS.findall((text or "").lower()))
+            words = set(Reading((text or "").lower()).words())
             fold = mark % FOLDS
-            keys = held[fold, toxic]
-            keys.update(words)
+            held[fold, toxic, ""].update(words)
+            longer = words
             for n in PREFIXES:
-                keys.update({f"{w[:n]}*" for w in words if len(w) > n})
+                longer = [w for w in longer if len(w) > n]
+                held[fold, toxic, "*"].update({w[:n] for w in longer})
             whole.update(words)
             texts[fold, toxic] += 1
         if sum(map(len, held.values())) > 300_000:
@@ -230,6 +290,8 @@ class Model:
         #: Weighty words, and what is left of them with doubled letters taken once.
         self.whole = {w for w in weights if not w.endswith("*")}
         self.single = {DOUBLED.sub(r"\1", w) for w in self.whole}
+        #: What they begin with, less than whole.
+        self.heads = {w[:n] for w in self.whole for n in range(1, len(w))}
         #: How words with a weight may begin.
         self.begins = {w.rstrip("*")[:4] for w in weights}
         self.starts = {stripped(w.rstrip("*"))[:n] for w in weights for n in range(5)}
@@ -258,29 +320,30 @@ class Model:
             got = self.restored[span] = tuple(words)
         return got
 
-    def hidden(self, found: list[str]) -> set[str]:
+    def hidden(self, found: list[str], single: list[str]) -> set[str]:
         """Spans whose words may be weighty with doubled letters taken once, or two or three fragments taken together."""
         spans: set[str] = set()
-        words = set(found)
-        single = self.single.intersection(DOUBLED.sub(r"\1", " ".join(words)).split(" "))
-        if single:
-            spans.update(w for w in words - self.whole if DOUBLED.sub(r"\1", w) in single)
-        two = map(add, found, islice(found, 1, None))
-        three = map(add, map(add, found, islice(found, 1, None)), islice(found, 2, None))
-        for n, joined in ((2, two), (3, three)):
-            if not self.whole.isdisjoint(joined):
-                spans.update(" ".join(part) for part in zip(*(found[i:] for i in range(n)), strict=False) if "".join(part) in self.whole)
+        if not self.single.isdisjoint(single):
+            spans.update(w for w, s in zip(found, single, strict=True) if s in self.single and w not in self.whole)
+        for i in compress(range(len(found) - 1), map(self.heads.__contains__, found)):
+            joined = found[i]
+            for n in range(i + 1, min(i + 3, len(found))):
+                joined += found[n]
+                if joined in self.whole:
+                    spans.add(" ".join(found[i : n + 1]))
+                if joined not in self.heads:
+                    break
         return spans
 
     def top(self, text: str | None) -> list[float]:
         """The TOP highest weights of the text's words, plain and restored."""
         if not text:
             return [0.0] * TOP
-        low = text.lower()
-        found = WORDS.findall(low)
+        reading = Reading(text.lower())
+        found = reading.words()
         words = set(found)
-        spans = {s for s in disguised(low) if SPELLED.match(s) or lead(s) in self.starts}  # others can't hide a word with a weight
-        words.update(w for s in spans | self.hidden(found) for w in self.restore(s))
+        spans = {s for s in disguised(reading) if SPELLED.match(s) or lead(s) in self.starts}  # others can't hide a word with a weight
+        words.update(w for s in spans | self.hidden(found, reading.single()) for w in self.restore(s))
         weight = self.weight
         begins = self.begins
         best = sorted((x for w in words if w[:4] in begins and (x := weight(w)) > 0), reverse=True)[:TOP]

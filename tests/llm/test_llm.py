@@ -296,6 +296,48 @@ def test_toxicity_decodes_long_spans_whole():
         assert max(map(len, parts)) <= toxicity.WINDOW and (len(parts) - 1) * 192 + len(parts[-1]) == n
 
 
+def test_toxicity_tries_no_pattern_on_plain_texts(monkeypatch):
+    """The patterns cost most of the time: a text without disguises is read without them."""
+    tried = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def __getattr__(self, name):
+            tried.append(name)
+            return getattr(self.pattern, name)
+
+    words = ["idiot", "awful", "loser", "ass", "nice"]
+    model = toxicity.Model(dict.fromkeys(words[:4], 3.0), toxicity.CharModel({g: 5 for w in words for g in toxicity.char_grams(w)}), np.array([-4.0, 2.0, 1.0, 1.0]))
+    for name in ("WORDS", "SPELLED", "MIXED", "REPEATED", "DOUBLED"):
+        monkeypatch.setattr(toxicity, name, Counted(getattr(toxicity, name)))
+    for plain in (" ".join(WORDS), "A good day, isn't it? It was a letter - on 4 May, at 10:30. Été à Köln; ça va.", "x", "1", " "):
+        assert model.top(plain) == [0.0] * 3 and not tried, plain
+    assert model.top("such an idiot, awful") == [3.0, 3.0, 0.0] and not tried
+    assert model.top("such an i d i o t, aw ful, iddiot, l0ser") == [3.0] * 3 and tried
+
+
+def test_toxicity_reads_what_the_patterns_match():
+    rng = random.Random(31)
+    words = ["idiot", "awful", "loser", "ass", "pass", "nice", "boo"]
+    model = toxicity.Model(dict.fromkeys(words, 3.0), toxicity.CharModel({g: 5 for w in words for g in toxicity.char_grams(w)}), None)
+    signs = "aaabbiodt0134@$!|+(c€£e .,_*~/'\"- \n\t\x1c\x85\u00a0\u3000éßİªº²½٣一\u0301😀𝐚"
+    ways = (lambda w: rng.choice(" .-_* ").join(w), lambda w: "".join(c * rng.choice((1, 1, 2, 3)) for c in w), lambda w: w[:2] + rng.choice(" 0-") + w[2:], lambda w: w[:1] + " " + w[1:2] + " " + w[2:], lambda w: w)
+    for i in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) if i % 2 else rng.choice((" ", ". ", "")).join(rng.choice(ways)(rng.choice(words)) for _ in range(rng.randint(1, 6)))
+        low = text.lower()
+        reading, found = toxicity.Reading(low), toxicity.WORDS.findall(low)
+        single = [toxicity.DOUBLED.sub(r"\1", w) for w in found]
+        assert reading.words() == found and reading.single() == single
+        tokens = {t.strip(".,;:?\"()") for t in low.split() if not t.isalpha() and toxicity.MIXED.match(t) or toxicity.REPEATED.search(t)}
+        assert toxicity.disguised(reading) == tokens | {m[0] for m in toxicity.SPELLED.finditer(low)}, text
+        joined = {" ".join(found[i : i + n]) for n in (2, 3) for i in range(len(found) - n + 1) if "".join(found[i : i + n]) in model.whole}
+        assert model.hidden(found, single) == joined | {w for w, s in zip(found, single, strict=True) if w not in model.whole and s in model.single}, text
+        shingles = [" ".join(low.split()[i : i + 3]) for i in range(max(1, len(low.split()) - 2))]
+        assert toxicity.minimum_hash(text) == min(map(xxhash.xxh64_intdigest, shingles)) >> 1
+
+
 def test_topk_takes_the_largest_ids(spark):
     top = (1 << 63) - 8
     df = spark.createDataFrame([(top, [1.0, 2.0]), (top - 1, [1.0, 1.0]), (-(1 << 63), [0.5, 0.5])], "vec_id long, embedding array<double>")
